@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -19,6 +19,17 @@ WS = fixed.WS
 _NOT_ASCII = r"[^\x00-\x7F]"
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(c)`` with ``c`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
+def lookup_table(entries: Mapping[str, str]) -> Column:
+    """A constant map, folded to a literal when the plan is optimised."""
+    pairs = "\x1e".join(f"{k}\x1f{v}" for k, v in entries.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\x1e"), F.lit("\x1f"))
+
+
 def blank_to_null(c: Column) -> Column:
     """NULL when the text is missing or only white space."""
     return F.when(F.length(trim_ws(c)) > 0, c)
@@ -47,16 +58,18 @@ def squash_text(s: str) -> str:
 # ---------------------------------------------------------------- scripts
 def detect_script(c: Column) -> Column:
     """One of devanagari, latin, mixed, numeric, unknown."""
-    clean = trim_ws(c)
-    dev = clean.rlike(r"[\u0900-\u097F]")
-    lat = clean.rlike("[a-zA-Z]")
-    return (
-        F.when(dev & lat, "mixed")
-        .when(dev, "devanagari")
-        .when(lat, "latin")
-        .when(clean.rlike("^[0-9]+$"), "numeric")
-        .otherwise("unknown")
-    )
+
+    def of(text: Column) -> Column:
+        dev, lat = text.rlike(r"[\u0900-\u097F]"), text.rlike("[a-zA-Z]")
+        return (
+            F.when(dev & lat, "mixed")
+            .when(dev, "devanagari")
+            .when(lat, "latin")
+            .when(text.rlike(f"^{WS}*[0-9]+{WS}*$"), "numeric")
+            .otherwise("unknown")
+        )
+
+    return let(c, of)
 
 
 # ------------------------------------------------------------------ Latin
@@ -89,15 +102,18 @@ def _latin_fold() -> tuple[str, str, dict[str, str]]:
 def fold_latin(c: Column) -> Column:
     """Accents and compatibility forms to plain ASCII; pure ASCII text is passed through."""
     source, target, several = _latin_fold()
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    unfolded = F.array_join(
-        F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
-    )
+    table = lookup_table(several)
     rare = "[" + "".join(sorted(several)) + "]"
-    wide = F.when(c.rlike(rare), unfolded).otherwise(c)
-    return F.when(
-        c.rlike(_NOT_ASCII), F.translate(wide, source, target)
-    ).otherwise(c)
+
+    def unfold(text: Column) -> Column:
+        letters = F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch))
+        return F.when(text.rlike(rare), F.array_join(letters, "")).otherwise(text)
+
+    def fold(text: Column) -> Column:
+        wide = let(text, unfold)
+        return F.when(text.rlike(_NOT_ASCII), F.translate(wide, source, target)).otherwise(text)
+
+    return let(c, fold)
 
 
 def normalize_latin(c: Column) -> Column:
@@ -141,18 +157,21 @@ def _harmonise(c: Column, zero_width_as: str) -> Column:
 
 def normalize_devanagari(c: Column) -> Column:
     """Canonical Devanagari text: one spelling per sign, ASCII digits, noise to blanks."""
-    text = F.coalesce(c, F.lit(""))
-    composed = F.when(
-        text.rlike(r"[\u0300-\u036F]"), F.regexp_replace(text, _composing_pairs(), " ")
-    ).otherwise(text)
-    clean = F.when(text.rlike(_NOT_ASCII), _harmonise(composed, "")).otherwise(text)
-    return F.trim(F.regexp_replace(clean, r"[^\u0900-\u097F0-9a-zA-Z/_-]+", " "))
+
+    def clean(text: Column) -> Column:
+        composed = F.when(
+            text.rlike(r"[\u0300-\u036F]"), F.regexp_replace(text, _composing_pairs(), " ")
+        ).otherwise(text)
+        return F.when(text.rlike(_NOT_ASCII), _harmonise(composed, "")).otherwise(text)
+
+    plain = let(F.coalesce(c, F.lit("")), clean)
+    return F.trim(F.regexp_replace(plain, r"[^\u0900-\u097F0-9a-zA-Z/_-]+", " "))
 
 
 def normalize_ocr_text(c: Column) -> Column:
     """As :func:`normalize_devanagari` for scanned text: keeps punctuation, hidden marks to blanks."""
-    text = F.translate(F.coalesce(c, F.lit("")), "|", " ")
-    clean = F.when(text.rlike(_NOT_ASCII), _harmonise(text, " ")).otherwise(text)
+    bars = F.translate(F.coalesce(c, F.lit("")), "|", " ")
+    clean = let(bars, lambda t: F.when(t.rlike(_NOT_ASCII), _harmonise(t, " ")).otherwise(t))
     return F.trim(F.regexp_replace(clean, f"{WS}+", " "))
 
 

@@ -8,15 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import detect_script, normalize_devanagari, normalize_latin, trim_ws, unspaced
+from .text import (
+    detect_script,
+    let,
+    lookup_table,
+    normalize_devanagari,
+    normalize_latin,
+    trim_ws,
+    unspaced,
+)
 
 MAX_SPELLINGS = 5  # Fixed value: spellings kept per phrase.
 
 
-def _table(entries: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
-
-
 def _longest_first(*tables: Mapping[str, str]) -> str:
     keys = {k for t in tables for k in t}
     return "|".join(sorted(keys, key=lambda k: (-len(k), k)))
@@ -26,35 +30,35 @@ def _longest_first(*tables: Mapping[str, str]) -> str:
 _TOKEN = f"(?s)({_longest_first(fixed.LATIN_CONSONANTS, fixed.LATIN_VOWEL_SIGNS)}|.)"
 
 
-def _spell_word(word: Column) -> Column:
-    """Devanagari spellings of one normalised Latin word: array of one or two texts."""
-    tokens = F.regexp_extract_all(word, F.lit(_TOKEN), F.lit(1))
-    signs = _table({**fixed.LATIN_CONSONANTS, **fixed.LATIN_VOWEL_SIGNS})
-    initials = _table(fixed.LATIN_INITIAL_VOWELS)
+def _spell_tokens(tokens: Column) -> Column:
+    """Spellings of one tokenised word: one text, or two where it ends in a long "a" sign."""
+    signs = lookup_table({**fixed.LATIN_CONSONANTS, **fixed.LATIN_VOWEL_SIGNS})
+    initials = lookup_table(fixed.LATIN_INITIAL_VOWELS)
     last = F.size(tokens) - 1
 
     def sign(token: Column, i: Column) -> Column:
-        inner_a = (token == "a") & (i < last)
-        return (
-            F.when(i == 0, F.coalesce(F.try_element_at(initials, token), F.try_element_at(signs, token), token))
-            .when(inner_a, "")
-            .otherwise(F.coalesce(F.try_element_at(signs, token), token))
+        first = F.when(i == 0, F.try_element_at(initials, token))
+        inner_a = F.when((i > 0) & (i < last) & (token == "a"), "")
+        return F.coalesce(first, inner_a, F.try_element_at(signs, token), token)
+
+    def variants(spelled: Column) -> Column:
+        shorter = F.when(
+            spelled.endswith(fixed.LONG_A_SIGN), F.left(spelled, F.length(spelled) - 1)
         )
+        return F.array_compact(F.array(spelled, shorter))
 
-    spelled = F.array_join(F.transform(tokens, sign), "")
-    shorter = F.when(
-        spelled.endswith(fixed.LONG_A_SIGN), F.left(spelled, F.length(spelled) - 1)
-    )
-    by_rule = F.array_compact(F.array(spelled, shorter))
-    common = F.try_element_at(_table(fixed.COMMON_NAMES), word)
-    return F.when(common.isNotNull(), F.array(common)).otherwise(by_rule)
+    return let(F.array_join(F.transform(tokens, sign), ""), variants)
+
+
+def _spell_word(word: Column) -> Column:
+    """Devanagari spellings of one normalised Latin word: array of one or two texts."""
+    tokens = F.regexp_extract_all(word, F.lit(_TOKEN), F.lit(1))
+    common = F.try_element_at(lookup_table(fixed.COMMON_NAMES), word)
+    return F.coalesce(F.nullif(F.array(common), F.array(F.lit(None).cast("string"))), let(tokens, _spell_tokens))
 
 
 def to_devanagari(c: Column) -> Column:
     """Candidate Devanagari spellings of a Latin text, best first, at most five."""
-    norm = normalize_latin(c)
-    groups = F.transform(F.split(norm, " "), _spell_word)
-
     def extend(done: Column, group: Column) -> Column:
         longer = F.flatten(
             F.transform(
@@ -67,9 +71,12 @@ def to_devanagari(c: Column) -> Column:
         # Later words only lengthen a phrase, so the first five stay the first five.
         return F.slice(longer, 1, MAX_SPELLINGS)
 
-    start = F.array(F.lit(""))
+    def combine(norm: Column) -> Column:
+        groups = F.transform(F.split(norm, " "), _spell_word)
+        return F.when(norm != "", F.aggregate(groups, F.array(F.lit("")), extend))
+
     none = F.array().cast("array<string>")
-    return F.when(norm == "", none).otherwise(F.aggregate(groups, start, extend))
+    return F.coalesce(let(normalize_latin(c), combine), none)
 
 
 def first_devanagari(c: Column) -> Column:
@@ -83,14 +90,16 @@ def _latin_word(word: Column) -> Column:
     # A consonant in front of anything but a vowel sign or halant carries a short "a".
     spoken = F.regexp_replace(word, f"([{consonants}])(?=[^{vowels}{fixed.HALANT}])", "$1a")
     spoken = F.replace(spoken, F.lit(fixed.HALANT), F.lit(""))
-    table = _table({**fixed.DEVANAGARI_VOWELS, **fixed.DEVANAGARI_CONSONANTS})
+    table = lookup_table({**fixed.DEVANAGARI_VOWELS, **fixed.DEVANAGARI_CONSONANTS})
     letters = F.transform(F.split(spoken, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch))
-    spelled = F.array_join(letters, "")
-    capital = F.concat(F.upper(F.left(spelled, F.lit(1))), F.substring(spelled, 2, 1 << 30))
+    capital = let(
+        F.array_join(letters, ""),
+        lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30)),
+    )
     inverse: dict[str, str] = {}
     for latin, dev in fixed.COMMON_NAMES.items():
         inverse.setdefault(dev, latin.upper())
-    return F.coalesce(F.try_element_at(_table(inverse), word), capital)
+    return F.coalesce(F.try_element_at(lookup_table(inverse), word), capital)
 
 
 def to_latin(c: Column) -> Column:
@@ -129,31 +138,34 @@ def query_script(c: Column) -> Column:
 
 def expand_query(c: Column) -> Column:
     """All texts a query stands for: itself, unspaced, other script, split name endings."""
-    clean = trim_ws(c)
-    joined = unspaced(clean)
-    script = detect_script(clean)
-    none = F.array().cast("array<string>")
-    base = F.array(c, joined)
+    texts = let(
+        F.struct(c.alias("given"), trim_ws(c).alias("clean"), unspaced(c).alias("joined")),
+        lambda q: _expansion(q["given"], q["clean"], q["joined"]),
+    )
+    return F.filter(F.array_distinct(F.array_compact(texts)), lambda t: t != "")
 
-    latin = to_latin(clean)
+
+def _expansion(given: Column, clean: Column, joined: Column) -> Column:
+    none = F.array().cast("array<string>")
     from_dev = F.concat(
-        F.array(latin, F.lower(latin), unspaced(latin)),
+        let(to_latin(clean), lambda x: F.array(x, F.lower(x), unspaced(x))),
         F.array(*_split_ending(clean, fixed.DEVANAGARI_NAME_ENDINGS)),
     )
-
-    spellings = to_devanagari(clean)
-    with_joined = F.flatten(F.transform(spellings, lambda s: F.array(s, unspaced(s))))
+    with_joined = F.flatten(F.transform(to_devanagari(clean), lambda s: F.array(s, unspaced(s))))
     of_joined = F.when(joined != clean, to_devanagari(joined)).otherwise(none)
     lower = F.lower(clean)
-    single = ~lower.contains(" ")
     split_forms = F.filter(
-        F.array(*_split_ending(lower, fixed.LATIN_NAME_ENDINGS)), lambda s: s.isNotNull() & single
+        F.array(*_split_ending(lower, fixed.LATIN_NAME_ENDINGS)),
+        lambda s: s.isNotNull() & ~lower.contains(" "),
     )
     split_spelled = F.flatten(
         F.transform(split_forms, lambda s: F.concat(F.array(s), to_devanagari(s)))
     )
     from_latin = F.concat(with_joined, of_joined, split_spelled)
-
-    extra = F.when(script == "devanagari", from_dev).when(script == "latin", from_latin).otherwise(none)
-    texts = F.array_distinct(F.array_compact(F.concat(base, extra)))
-    return F.filter(texts, lambda t: t != "")
+    extra = let(
+        detect_script(clean),
+        lambda script: F.when(script == "devanagari", from_dev)
+        .when(script == "latin", from_latin)
+        .otherwise(none),
+    )
+    return F.concat(F.array(given, joined), extra)

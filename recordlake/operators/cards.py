@@ -336,7 +336,7 @@ def extraction_report(pages: DataFrame, cards: DataFrame) -> DataFrame:
         F.count_if(needs_review).alias("records_to_review"),
         F.count_if(F.col("id_code").isNull()).alias("id_code_reviews"),
         F.count_if(~F.coalesce(F.col("age").between(18, 130), F.lit(False))).alias("age_reviews"),
-        F.round(F.avg("confidence"), 4).alias("average_confidence"),
+        F.round(F.avg(F.col("confidence").cast("decimal(18,6)")), 4).cast("double").alias("average_confidence"),
     )
     per_pages = pages.groupBy("file_id").agg(F.count(F.lit(1)).alias("pages"))
     joined = per_pages.join(per_file, "file_id", "left")

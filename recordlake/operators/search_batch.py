@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_house, normalize_id_code, trim_ws, unspaced
+from ..session import cut_lineage
 from . import search as S
 
 c = F.col
@@ -38,21 +39,23 @@ def _candidate_grams(text: Column) -> Column:
     return F.when(F.length(text) >= GRAM, F.array_distinct(_grams(text, GRAM))).otherwise(F.array(text))
 
 
-def containing_pairs(values: DataFrame, candidates: DataFrame, joined: bool = True) -> DataFrame:
-    """(query_id, cand, value) where the value may contain the candidate, blanks aside.
+def containing_pairs(values: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, field, cand, value) where the value may contain the candidate, blanks aside.
 
     The candidate's rarest gram is the join key; a candidate with a gram that
-    no value has is dropped. Nothing that contains the candidate is missed.
+    no value of its field has is dropped. Nothing that contains the candidate
+    is missed.
     """
-    strip = unspaced if joined else (lambda x: x)
-    cand_grams = candidates.select("query_id", "cand", F.explode(_candidate_grams(strip(c("cand")))).alias("gram"))
-    value_grams = values.select("value", F.explode(_value_grams(strip(c("value")))).alias("gram"))
-    value_grams = value_grams.join(cand_grams.select("gram").distinct(), "gram", "left_semi")
-    frequency = value_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    counted = cand_grams.join(frequency, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = counted.groupBy("query_id", "cand").agg(F.min(F.struct("n", "gram")).alias("r"))
-    keyed = rarest.where(c("r.n") > 0).select("query_id", "cand", c("r.gram").alias("gram"))
-    return keyed.join(value_grams, "gram").select("query_id", "cand", "value")
+    cand_grams = candidates.select(
+        "query_id", "field", "cand", F.explode(_candidate_grams(unspaced(c("cand")))).alias("gram")
+    )
+    value_grams = values.select("field", "value", F.explode(_value_grams(unspaced(c("value")))).alias("gram"))
+    value_grams = value_grams.join(cand_grams.select("field", "gram").distinct(), ["field", "gram"], "left_semi")
+    frequency = value_grams.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counted = cand_grams.join(frequency, ["field", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("query_id", "field", "cand").agg(F.min(F.struct("n", "gram")).alias("r"))
+    keyed = rarest.where(c("r.n") > 0).select("query_id", "field", "cand", c("r.gram").alias("gram"))
+    return keyed.join(value_grams, ["field", "gram"]).select("query_id", "field", "cand", "value")
 
 
 # ----------------------------------------------------------- segment keys
@@ -73,9 +76,9 @@ def _value_segments(text: Column) -> Column:
     return F.array(*parts)
 
 
-def _candidate_segments(text: Column, longer_than: int) -> Column:
+def _candidate_segments(text: Column, longer_than: Column) -> Column:
     size = F.length(text)
-    shortest = F.greatest(size - S.MAX_EDITS, F.lit(longer_than + 1))
+    shortest = F.greatest(size - S.MAX_EDITS, longer_than + 1)
     longest = size + S.MAX_EDITS
     empty = F.array().cast("array<struct<len:int,seg:int,piece:string>>")
 
@@ -101,99 +104,103 @@ def _candidate_segments(text: Column, longer_than: int) -> Column:
     return F.array_distinct(F.coalesce(F.flatten(F.transform(lengths, of_length)), empty))
 
 
-def near_pairs(values: DataFrame, candidates: DataFrame, script: str) -> DataFrame:
-    """(query_id, cand, value) that may be within two edits.
+def near_pairs(values: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, field, cand, value) of names that may be within two edits.
 
     Two edits touch at most two of a value's three pieces, so one piece stands
     unchanged in the candidate, at most two places away.
     """
-    longer_than = S.FUZZY_LONGER_THAN[script]
-    left = values.where(F.length("value") > longer_than).select(
-        "value", F.inline(_value_segments(c("value")))
+    longer_than = F.when(c("field") == NAMES["lat"], S.FUZZY_LONGER_THAN["lat"]).otherwise(S.FUZZY_LONGER_THAN["dev"])
+    named = c("field").isin(list(NAMES.values()))
+    left = values.where(named & (F.length("value") > longer_than)).select(
+        "field", "value", F.inline(_value_segments(c("value")))
     )
-    right = candidates.select("query_id", "cand", F.inline(_candidate_segments(c("cand"), longer_than)))
-    return right.join(left, ["len", "seg", "piece"]).select("query_id", "cand", "value").distinct()
-
+    right = candidates.where(named).select(
+        "query_id", "field", "cand", F.inline(_candidate_segments(c("cand"), longer_than))
+    )
+    pairs = right.join(left, ["field", "len", "seg", "piece"])
+    return pairs.select("query_id", "field", "cand", "value").distinct()
 
-# ------------------------------------------------------------- value matches
-def match_values(values: DataFrame, candidates: DataFrame, script: str, fuzzy: bool = True) -> DataFrame:
-    """Best (score, label) of every query for every distinct name it matches."""
-    tiers = S.best_tier(S.name_tiers(c("value"), c("cand"), script, fuzzy))
-    pairs = containing_pairs(values, candidates)
-    if fuzzy:
-        pairs = pairs.unionByName(near_pairs(values, candidates, script))
-    return _best(pairs.withColumn("hit", tiers))
 
+# ------------------------------------------------------- values, candidates
+NAMES = {"lat": "norm_name_lat", "dev": "norm_name_dev"}
+RELATIONS = {"lat": "norm_rel_lat", "dev": "norm_rel_dev"}
+CODE, HOUSE = "id_code", "norm_house"
 
-def match_relations(values: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Score of every query for every distinct relative's name it equals or is part of."""
-    hit = F.when(c("value") == c("cand"), S.REL_EXACT).when(c("value").contains(c("cand")), S.REL_PART)
-    pairs = containing_pairs(values, candidates)
-    scored = pairs.withColumn("score", hit).where(c("score").isNotNull())
-    return scored.groupBy("query_id", "value").agg(F.max("score").alias("score"))
 
+def _field_values() -> Column:
+    """The searched texts of a record as array<struct(field, value)>."""
+    texts = {x: c(x) for x in (*NAMES.values(), *RELATIONS.values(), HOUSE)}
+    texts[CODE] = normalize_id_code(c("id_code"))
+    return F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in texts.items()])
 
-def match_codes(values: DataFrame, candidates: DataFrame) -> DataFrame:
-    tiers = S.best_tier(
-        [(c("value") == c("cand"), *S.TEXT_ID_EXACT), (c("value").contains(c("cand")), *S.TEXT_ID_PART)]
-    )
-    return _best(containing_pairs(values, candidates, joined=False).withColumn("hit", tiers))
 
+def value_dictionary(records: DataFrame) -> DataFrame:
+    """Distinct (field, value) of all records: what queries are matched against.
 
-def _best(scored: DataFrame) -> DataFrame:
-    return scored.where(c("hit").isNotNull()).groupBy("query_id", "value").agg(F.max("hit").alias("hit"))
+    Many searches over the same records can share one written copy.
+    """
+    values = records.select(F.inline(_field_values()))
+    return values.where((c("value") != "") & (c("field") != HOUSE)).distinct()
 
 
-# -------------------------------------------------------------------- search
 def query_candidates(queries: DataFrame) -> DataFrame:
-    """(query_id, script, cand) of ``queries(query_id, query)``."""
-    lat, dev = S.candidate_columns(trim_ws(c("query")))
-    wide = queries.select("query_id", lat.alias("lat"), dev.alias("dev"))
-    both = F.array(
-        F.struct(F.lit("lat").alias("script"), c("lat").alias("cands")),
-        F.struct(F.lit("dev").alias("script"), c("dev").alias("cands")),
-    )
-    return wide.select("query_id", F.inline(both)).select(
-        "query_id", "script", F.explode("cands").alias("cand")
+    """(query_id, field, cand) of ``queries(query_id, query)``."""
+    text = trim_ws(c("query"))
+    lat, dev = S.candidate_columns(text)
+    wide = queries.select("query_id", F.upper(text).alias("upper"), lat.alias("lat"), dev.alias("dev"))
+    per_field = [F.struct(F.lit(CODE).alias("field"), F.array("upper").alias("cands"))]
+    for fields in (NAMES, RELATIONS):
+        per_field += [F.struct(F.lit(n).alias("field"), c(script).alias("cands")) for script, n in fields.items()]
+    exploded = wide.select("query_id", F.inline(F.array(*per_field)))
+    return exploded.select("query_id", "field", F.explode("cands").alias("cand")).where(c("cand") != "")
+
+
+# ------------------------------------------------------------- value matches
+def match_values(values: DataFrame, candidates: DataFrame, mode: str = "all") -> DataFrame:
+    """Best hit(score, label) of every query for every distinct value it matches.
+
+    The label of a relative's name is completed when records are joined back.
+    """
+    fuzzy = mode in S.FUZZY_MODES
+    value, cand = c("value"), c("cand")
+    pairs = containing_pairs(values, candidates)
+    if fuzzy:
+        pairs = pairs.unionByName(near_pairs(values, candidates))
+    related = [(value == cand, S.REL_EXACT, ""), (value.contains(cand), S.REL_PART, " (Partial)")]
+    coded = [(value == cand, *S.TEXT_ID_EXACT), (value.contains(cand), *S.TEXT_ID_PART)]
+    hit = (
+        F.when(c("field") == NAMES["lat"], S.best_tier(S.name_tiers(value, cand, "lat", fuzzy)))
+        .when(c("field") == NAMES["dev"], S.best_tier(S.name_tiers(value, cand, "dev", fuzzy)))
+        .when(c("field") == CODE, S.best_tier(coded))
+        .otherwise(S.best_tier(related))
     )
+    scored = pairs.withColumn("hit", hit).where(c("hit").isNotNull())
+    return scored.groupBy("query_id", "field", "value").agg(F.max("hit").alias("hit"))
 
 
+# -------------------------------------------------------------------- search
 def search_many(records: DataFrame, queries: DataFrame, mode: str = "all") -> DataFrame:
-    """(query_id, record_id, score, label) of every match of every query."""
-    cands = query_candidates(queries)
-    fuzzy = mode in S.FUZZY_MODES
-    found = []
-
-    def values_of(column: str) -> DataFrame:
-        filled = records.where(F.coalesce(c(column), F.lit("")) != "")
-        return filled.select(c(column).alias("value")).distinct()
-
-    def back(matches: DataFrame, column: Column, hit: Column) -> DataFrame:
-        keyed = records.select("record_id", "relation_type", column.alias("value"))
-        return keyed.join(matches, "value").select("query_id", "record_id", hit.alias("hit"))
-
-    for script in ("lat", "dev"):
-        own = cands.where(c("script") == script).select("query_id", "cand")
-        names = match_values(values_of(f"norm_name_{script}"), own, script, fuzzy)
-        found.append(back(names, c(f"norm_name_{script}"), c("hit")))
-        rels = match_relations(values_of(f"norm_rel_{script}"), own)
-        label = S.relation_label(c("relation_type"))
-        full = F.when(c("score") == S.REL_EXACT, label).otherwise(F.concat(label, F.lit(" (Partial)")))
-        found.append(
-            back(rels, c(f"norm_rel_{script}"), F.struct(c("score"), full.alias("label")))
-        )
-    code = normalize_id_code(c("id_code"))
-    codes = records.where(code != "").select(code.alias("value")).distinct()
-    upper = queries.select("query_id", F.upper(trim_ws(c("query"))).alias("cand")).where(c("cand") != "")
-    found.append(back(match_codes(codes, upper), code, c("hit")))
-    houses = queries.select("query_id", normalize_house(c("query")).alias("value")).where(c("value") != "")
-    at_house = F.struct(F.lit(S.HOUSE[0]).alias("score"), F.lit(S.HOUSE[1]).alias("label"))
-    found.append(back(houses, c("norm_house"), at_house))
-
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    best = out.groupBy("query_id", "record_id").agg(F.max("hit").alias("hit"))
+    """(query_id, record_id, score, label) of every match of every query.
+
+    The value dictionary and the candidates are written once, since several
+    steps read them.
+    """
+    values = cut_lineage(value_dictionary(records), "values")
+    candidates = cut_lineage(query_candidates(queries), "candidates")
+    houses = queries.select(
+        "query_id", F.lit(HOUSE).alias("field"), normalize_house(c("query")).alias("value"),
+        F.struct(F.lit(S.HOUSE[0]).alias("score"), F.lit(S.HOUSE[1]).alias("label")).alias("hit"),
+    ).where(c("value") != "")
+    matches = match_values(values, candidates, mode).unionByName(houses)
+
+    texts = records.select("record_id", "relation_type", F.inline(_field_values())).where(c("value") != "")
+    found = texts.join(matches, ["field", "value"])
+    related = c("field").isin(list(RELATIONS.values()))
+    label = F.when(related, F.concat(S.relation_label(c("relation_type")), c("hit.label"))).otherwise(c("hit.label"))
+    best = found.groupBy("query_id", "record_id").agg(
+        F.max(F.struct(c("hit.score").alias("score"), label.alias("label"))).alias("hit")
+    )
     return best.select("query_id", "record_id", "hit.score", "hit.label")
 
 

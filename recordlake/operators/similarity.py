@@ -192,13 +192,9 @@ def token_search(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str])
 def term_counts(docs: DataFrame, doc_id: str, text: str, wanted: Sequence[str]) -> DataFrame:
     """Occurrences of each wanted term per document."""
     tokenized = docs.select(c(doc_id), tokens(c(text)).alias("_tokens"))
-    hits = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("term"),
-                F.size(F.filter(c("_tokens"), lambda w, t=t: w == t)).alias("tf"),
-            )
-            for t in wanted
-        ]
-    )
+
+    def occurrences(term: str) -> Column:
+        return F.size(F.filter(c("_tokens"), lambda w: w == term))
+
+    hits = F.array(*[F.struct(F.lit(t).alias("term"), occurrences(t).alias("tf")) for t in wanted])
     return tokenized.select(c(doc_id), hits.alias("hits"))

@@ -30,6 +30,12 @@ def age_bands(records: DataFrame) -> DataFrame:
     return banded.groupBy("age_band").agg(F.count(F.lit(1)).alias("n"))
 
 
+def average_confidence(confidence: Column) -> Column:
+    """Average to three places; a missing or zero confidence counts as 1. Exact whatever the row order."""
+    exact = F.coalesce(F.nullif(confidence, F.lit(0.0)), F.lit(1.0)).cast("decimal(18,6)")
+    return F.round(F.avg(exact), 3).cast("double")
+
+
 def _count_map(names: Sequence[str], test) -> Column:
     pairs = [x for n in names for x in (F.lit(n), F.count_if(test(n)))]
     return F.create_map(*pairs)
@@ -41,7 +47,6 @@ def system_stats(records: DataFrame, batches: DataFrame | None = None, files: Da
     place = F.coalesce(
         *[F.nullif(c(x), F.lit("")) for x in ("constituency", "constituency_id") if x in records.columns]
     )
-    confidence = F.coalesce(F.nullif(c("confidence"), F.lit(0.0)), F.lit(1.0))
     stats = records.agg(
         F.count(F.lit(1)).alias("total_records"),
         _count_map(GENDERS, lambda g: c("gender") == g).alias("gender_distribution"),
@@ -49,7 +54,7 @@ def system_stats(records: DataFrame, batches: DataFrame | None = None, files: Da
         # Exact distinct counts go through a two-step aggregate, never one task's set.
         F.count_distinct(place).alias("total_constituencies"),
         F.count_distinct(F.nullif(c("ward"), F.lit(""))).alias("total_wards"),
-        F.coalesce(F.round(F.avg(confidence), 3), F.lit(1.0)).alias("average_confidence"),
+        F.coalesce(average_confidence(c("confidence")), F.lit(1.0)).alias("average_confidence"),
     )
     for name, table in (("total_batches", batches), ("total_source_files", files)):
         if table is not None:
@@ -100,7 +105,7 @@ def import_report(checked: DataFrame, errors: DataFrame, files: DataFrame | None
     )
     kept = checked.where(~c("dropped"))
     confidence = kept.groupBy("batch_id").agg(
-        F.round(F.avg(F.coalesce(F.nullif(c("confidence"), F.lit(0.0)), F.lit(1.0))), 3).alias("avg_confidence")
+        average_confidence(c("confidence")).alias("avg_confidence")
     )
     report = batch_totals(checked).join(confidence, "batch_id", "left").join(per_code, "batch_id", "left")
     codes = c("error_breakdown")

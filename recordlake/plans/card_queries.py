@@ -39,7 +39,7 @@ def register_pages(spark, sf_dir):
     gender = F.when(c("gender") == "MALE", "पुरुष").when(c("gender") == "FEMALE", "महिला").otherwise("-")
     mark = F.when(key % 43 == 0, "\nDELETED").otherwise("")
     serial = (place % 1000 + 2).cast("string")
-    house = F.concat(F.lit("म.क्र. "), (key % 97).cast("string"))
+    house = F.concat(F.lit("म.क्र. "), (key % 7).cast("string"))
     inline = F.concat(
         serial, F.lit(" "), code, F.lit("\nनिर्वाचक का नाम: "), name, F.lit("\n"), relation, F.lit(": "), rel,
         F.lit("\nमकान संख्या: "), house, F.lit("\nउम्र: "), age, F.lit(" लिंग: "), gender, mark,
@@ -158,7 +158,7 @@ def line_blocks(spark, sf_dir):
           CASE WHEN relation_type = 'UNKNOWN' THEN 'OTHER' ELSE relation_type END AS relation_type,
           coalesce(translate(rel_name_lat, 'abcdefghijklmnopqrstuvwxyz', 'अबचदएफगहइजकलमनओपखरसतउवथयझठ'), 'कखग') AS rel_name_dev,
           CASE WHEN gender IN ('MALE', 'FEMALE') THEN gender ELSE 'UNKNOWN' END AS gender, card_age AS age,
-          CAST(record_id % 97 AS VARCHAR) AS house_number, deleted,
+          CAST(record_id % 7 AS VARCHAR) AS house_number, deleted,
           CASE WHEN deleted THEN 'REJECTED' WHEN code IS NULL OR card_age IS NULL OR card_age < 18 THEN 'WARNING'
             ELSE 'VALID' END AS status,
           'गहइ नगर' AS section, CAST(file_id AS VARCHAR) || ' अबच' AS constituency,

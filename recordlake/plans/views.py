@@ -43,7 +43,7 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("B"), (key % 7).cast("string")).alias("batch_id"),
         F.concat(F.lit("F"), (key % 20).cast("string")).alias("source_file_id"),
         F.lit(1).alias("source_page_number"),
-        (key % 113).cast("int").alias("source_serial_number"),
+        (key % 57).cast("int").alias("source_serial_number"),
         F.when(_every(17), None)
         .when(_every(29), "AB1")
         .otherwise(F.concat(F.lit("ABC"), F.lpad((key % 1900).cast("string"), 7, "0")))
@@ -56,7 +56,7 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(5, "MALE", "FEMALE", "OTHER", "UNKNOWN", "X").alias("gender"),
         _pick(4, "FATHER", "HUSBAND", "MOTHER", "UNKNOWN").alias("relation_type"),
         F.when(_every(31), None).when(_every(37), 125).otherwise(c("p_size") + 10).alias("age"),
-        F.when(_every(41), "-").otherwise(F.concat(F.lit("H.No. "), (key % 97).cast("string"))).alias("house_number"),
+        F.when(_every(41), "-").otherwise(F.concat(F.lit("H.No. "), (key % 7).cast("string"))).alias("house_number"),
         F.when(~_every(59), c("p_brand")).alias("ward"),
         F.when(~_every(59), c("p_type")).alias("part"),
         F.concat(F.lit("S"), (c("p_size") % 5).cast("string")).alias("area"),
@@ -82,7 +82,7 @@ WITH r0 AS (
   SELECT p_partkey AS record_id, p_partkey AS ingest_seq,
     'B' || CAST(p_partkey % 7 AS VARCHAR) AS batch_id,
     'F' || CAST(p_partkey % 20 AS VARCHAR) AS source_file_id,
-    CAST(p_partkey % 113 AS INTEGER) AS source_serial_number,
+    CAST(p_partkey % 57 AS INTEGER) AS source_serial_number,
     CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 29 = 0 THEN 'AB1'
          ELSE 'ABC' || lpad(CAST(p_partkey % 1900 AS VARCHAR), 7, '0') END AS id_code,
     CASE WHEN p_partkey % 53 <> 0 THEN p_name END AS name_lat,
@@ -96,7 +96,7 @@ WITH r0 AS (
          ELSE 'UNKNOWN' END AS relation_type,
     CASE WHEN p_partkey % 31 = 0 THEN NULL WHEN p_partkey % 37 = 0 THEN 125
          ELSE p_size + 10 END AS age,
-    CASE WHEN p_partkey % 41 = 0 THEN '-' ELSE 'H.No. ' || CAST(p_partkey % 97 AS VARCHAR) END AS house_number,
+    CASE WHEN p_partkey % 41 = 0 THEN '-' ELSE 'H.No. ' || CAST(p_partkey % 7 AS VARCHAR) END AS house_number,
     CASE WHEN p_partkey % 59 <> 0 THEN p_brand END AS ward,
     CASE WHEN p_partkey % 59 <> 0 THEN p_type END AS part,
     'S' || CAST(p_size % 5 AS VARCHAR) AS area,
@@ -107,7 +107,7 @@ WITH r0 AS (
 ), r AS (
   SELECT *, coalesce(lower(name_lat), '') AS norm_name_lat, coalesce(name_dev, '') AS norm_name_dev,
     rel_name_lat AS norm_rel_lat,
-    CASE WHEN record_id % 41 = 0 THEN '-' ELSE CAST(record_id % 97 AS VARCHAR) END AS norm_house
+    CASE WHEN record_id % 41 = 0 THEN '-' ELSE CAST(record_id % 7 AS VARCHAR) END AS norm_house
   FROM r0
 )
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections import defaultdict
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -99,11 +99,23 @@ def _latin_fold() -> tuple[str, str, dict[str, str]]:
     return "".join(source + marks), "".join(target), several
 
 
+def _near_ranges(chars: Iterable[str], gap: int = 64) -> str:
+    """Character class of a few ranges that cover the characters (and some between them)."""
+    codes = sorted(ord(ch) for ch in chars)
+    ranges = [[codes[0], codes[0]]]
+    for code in codes[1:]:
+        if code - ranges[-1][1] <= gap and code > 0x17F:
+            ranges[-1][1] = code
+        elif code != ranges[-1][1]:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 def fold_latin(c: Column) -> Column:
     """Accents and compatibility forms to plain ASCII; pure ASCII text is passed through."""
     source, target, several = _latin_fold()
     table = lookup_table(several)
-    rare = "[" + "".join(sorted(several)) + "]"
+    rare = _near_ranges(several)
 
     def unfold(text: Column) -> Column:
         letters = F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch))
@@ -137,10 +149,16 @@ def _composing_pairs() -> str:
 
 def _harmonise(c: Column, zero_width_as: str) -> Column:
     """Shared part of both Devanagari normalisers, up to the character whitelist."""
-    for dotted, spelled in fixed.DOTTED_LETTERS.items():
-        c = F.replace(c, F.lit(dotted), F.lit(spelled))
-    for spelled, composed in fixed.COMPOSED_LETTERS.items():
-        c = F.replace(c, F.lit(spelled), F.lit(composed))
+
+    def compose(text: Column) -> Column:
+        out = text
+        for dotted, spelled in fixed.DOTTED_LETTERS.items():
+            out = F.replace(out, F.lit(dotted), F.lit(spelled))
+        for spelled, composed in fixed.COMPOSED_LETTERS.items():
+            out = F.replace(out, F.lit(spelled), F.lit(composed))
+        return F.when(text.rlike(r"[\u0958-\u095F\u093C]"), out).otherwise(text)
+
+    c = let(c, compose)
     if zero_width_as:
         hidden = fixed.ZERO_WIDTH + "\u00A0"
         c = F.translate(c, hidden, zero_width_as * len(hidden))

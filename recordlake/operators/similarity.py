@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_devanagari, normalize_latin
+from ..functions.text import let, normalize_devanagari, normalize_latin
 from . import search as S
 
 c = F.col
@@ -169,32 +169,26 @@ def token_search(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str])
     """Documents holding any of the terms, scored by sum of tf * ln((1 + docs) / (1 + df)).
 
     Texts stay in their task: only per-document counts of the searched terms
-    are exchanged.
+    are exchanged, and the exchange lets both uses of them share one pass.
     """
-    wanted = list(dict.fromkeys(t.lower() for t in terms))
-    counted = term_counts(docs, doc_id, text, wanted)
-    # Matching documents are few and narrow. The exchange lets both uses below share one pass over the texts.
-    matched = counted.where(F.exists("hits", lambda h: h["tf"] > 0)).repartition(c(doc_id))
-    frequencies = matched.agg(
-        F.array(*[F.count_if(F.get("hits", F.lit(i))["tf"] > 0) for i in range(len(wanted))]).alias("df")
-    )
+    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(x.lower() for x in terms)])
+    counted = docs.select(c(doc_id), F.inline(let(tokens(c(text)), lambda ws: _term_counts(ws, wanted))))
+    counted = counted.repartition(c(doc_id))
+    per_term = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # One entry per searched term.
+    frequencies = per_term.agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    scored = matched.withColumns({"_n": n_docs.scalar(), "_df": frequencies.scalar()})
-    scored = scored.withColumn("_w", F.transform("_df", lambda df: F.log((1 + c("_n")) / (1 + df))))
-    parts = F.zip_with("hits", "_w", lambda h, w: h["tf"] * w)
-    return scored.select(
-        c(doc_id),
-        F.size(F.filter("hits", lambda h: h["tf"] > 0)).alias("n_terms"),
-        F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("score"),
+    weighted = counted.withColumns({"_n": n_docs.scalar(), "_df": frequencies.scalar()})
+    weight = F.log((1 + c("_n")) / (1 + F.try_element_at("_df", c("term"))))
+    return weighted.groupBy(doc_id).agg(
+        F.count(F.lit(1)).cast("int").alias("n_terms"), F.sum(c("tf") * weight).alias("score")
     )
 
 
-def term_counts(docs: DataFrame, doc_id: str, text: str, wanted: Sequence[str]) -> DataFrame:
-    """Occurrences of each wanted term per document."""
-    tokenized = docs.select(c(doc_id), tokens(c(text)).alias("_tokens"))
-
-    def occurrences(term: str) -> Column:
-        return F.size(F.filter(c("_tokens"), lambda w: w == term))
-
-    hits = F.array(*[F.struct(F.lit(t).alias("term"), occurrences(t).alias("tf")) for t in wanted])
-    return tokenized.select(c(doc_id), hits.alias("hits"))
+def _term_counts(words: Column, wanted: Column) -> Column:
+    """array<struct(term, tf)> of the wanted terms that occur."""
+    counts = F.transform(
+        wanted,
+        lambda t: F.struct(t.alias("term"), F.size(F.filter(words, lambda w: w == t)).alias("tf")),
+    )
+    return F.filter(counts, lambda x: x["tf"] > 0)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.quality import check_batch
 from ..operators.records import canonical_records
-from ..session import work_folder
+from ..session import cut_lineage, work_folder
 from ..sources.tabular import with_file_split, with_row_position
 
 
@@ -46,7 +46,9 @@ def ingest_files(
     def store(batch: DataFrame, number: int) -> None:
         placed = with_row_position(batch).withColumnRenamed("source_path", "source_file_id")
         placed = placed.withColumn("batch_id", F.lit(batch_id))
-        checked = check_batch(canonical_records(placed, mapping, metadata))
+        # The checks read the drafts several times, so they are stored once first.
+        drafts = cut_lineage(canonical_records(placed, mapping, metadata), "drafts")
+        checked = check_batch(drafts)
         checked.where(~F.col("dropped")).drop("dropped").write.mode("overwrite").parquet(
             f"{table}/micro_batch={number}"
         )

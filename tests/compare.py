@@ -39,11 +39,13 @@ def rows_of(columns: list[str], rows: list) -> list[tuple]:
     return sorted(tuple(_plain(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, sf_dir: str, name: str, con=None) -> str:
-    """Empty when equal, else what differs."""
+def compare(spark, sf_dir: str, name: str, con=None, on_plan=None) -> str:
+    """Empty when equal, else what differs. ``on_plan`` is given the plan before it runs."""
     from __spark_entry__ import oracle_sql, queries
 
     df = queries()[name](spark, sf_dir)
+    if on_plan:
+        on_plan(df._jdf.queryExecution().executedPlan().toString())
     got = [tuple(r) for r in df.collect()]
     sql = oracle_sql().get(name)
     if sql is None:

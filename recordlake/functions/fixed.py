@@ -7,6 +7,11 @@ values are used.
 # ---------------------------------------------------------------- whitespace
 # Fixed value: the characters a browser-style "\s" stands for; Java's is ASCII only.
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+WS_NOT_BLANK = r"[\t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+WS_CHARS = (
+    " \t\n\x0B\f\r\u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A"
+    "\u2028\u2029\u202F\u205F\u3000\uFEFF"
+)
 # Fixed value: zero-width characters removed from names.
 ZERO_WIDTH = "\u200B\u200C\u200D\uFEFF"
 

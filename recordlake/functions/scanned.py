@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import WS, _any_of, normalize_ocr_text, trim_ws
+from .text import WS, _any_of, _to_blanks, normalize_ocr_text, trim_ws
 
 
 def _field(raw: Column, value: Column, confidence: Column, notes: Column | None = None) -> Column:
@@ -52,7 +52,7 @@ def clean_name(c: Column) -> Column:
     """Name without its label and with letters only."""
     label = f"(?i)^{_any_of(fixed.OCR_NAME_PREFIXES)}{WS}*[:：.]?{WS}*"
     value = F.regexp_replace(normalize_ocr_text(c), label, "")
-    value = F.trim(F.regexp_replace(value, r"[^\u0900-\u097Fa-zA-Z]+", " "))
+    value = _to_blanks(value, r"\u0900-\u097Fa-zA-Z")
     size = F.length(value)
     return _field(c, value, F.when(size < 2, 0.40).when(size > 50, 0.70).otherwise(0.95))
 

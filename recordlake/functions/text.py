@@ -37,7 +37,7 @@ def blank_to_null(c: Column) -> Column:
 
 def trim_ws(c: Column) -> Column:
     """Trim every Unicode space, not only the ASCII blank."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(fixed.WS_CHARS))
 
 
 def unspaced(c: Column) -> Column:
@@ -45,6 +45,20 @@ def unspaced(c: Column) -> Column:
     return F.regexp_replace(c, f"{WS}+", "")
 
 
+def joined(c: Column) -> Column:
+    """Remove the blanks of a normalised text, which has no other white space."""
+    return F.replace(c, F.lit(" "), F.lit(""))
+
+
+def _to_blanks(c: Column, kept: str) -> Column:
+    """Every run of characters outside the kept ones to one blank, then trim.
+
+    Runs that already are a single blank, the most frequent kind by far, are
+    not matched at all.
+    """
+    return F.trim(F.regexp_replace(c, f"(?: ?[^ {kept}]|  )[^{kept}]*", " "))
+
+
 def squash(c: Column) -> Column:
     """Lower case without blanks, underscores, hyphens or dots (header comparison)."""
     return F.regexp_replace(F.lower(c), f"({WS}|[_\\-.])+", "")
@@ -131,7 +145,7 @@ def fold_latin(c: Column) -> Column:
 def normalize_latin(c: Column) -> Column:
     """Lower-case ASCII letters, digits, ``/ _ -`` and single blanks."""
     folded = F.lower(fold_latin(F.coalesce(c, F.lit(""))))
-    return F.trim(F.regexp_replace(folded, "[^a-z0-9/_-]+", " "))
+    return _to_blanks(folded, "a-z0-9/_-")
 
 
 # ------------------------------------------------------------- Devanagari
@@ -183,14 +197,15 @@ def normalize_devanagari(c: Column) -> Column:
         return F.when(text.rlike(_NOT_ASCII), _harmonise(composed, "")).otherwise(text)
 
     plain = let(F.coalesce(c, F.lit("")), clean)
-    return F.trim(F.regexp_replace(plain, r"[^\u0900-\u097F0-9a-zA-Z/_-]+", " "))
+    return _to_blanks(plain, r"\u0900-\u097F0-9a-zA-Z/_-")
 
 
 def normalize_ocr_text(c: Column) -> Column:
     """As :func:`normalize_devanagari` for scanned text: keeps punctuation, hidden marks to blanks."""
     bars = F.translate(F.coalesce(c, F.lit("")), "|", " ")
     clean = let(bars, lambda t: F.when(t.rlike(_NOT_ASCII), _harmonise(t, " ")).otherwise(t))
-    return F.trim(F.regexp_replace(clean, f"{WS}+", " "))
+    one_blank = F.regexp_replace(clean, f"(?: ?{fixed.WS_NOT_BLANK}|  ){WS}*", " ")
+    return F.trim(one_blank)
 
 
 @F.pandas_udf(StringType())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from ..functions.text import (
     trim_ws,
 )
 from ..functions.translit import to_latin
-from .keyed import attach_by_key, carry_forward
+from ..session import cut_lineage
+from .keyed import attach_by_key, carry_forward, filter_late
 from .records import as_records, blank_null, record_key, with_defaults
 
 
@@ -25,16 +28,25 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 # ----------------------------------------------------------- header fields
-def header_fields(pages: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
-    """Per file, the first match of every header pattern in page order, and its page count."""
+def page_facts(pages: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+    """Per page, in one scan: header fields found on it, its section heading, whether it holds cards."""
     patterns = patterns or P.HEADER_FIELDS
-    found = pages.select(
-        "file_id", "page_no", *[first_match(F.col("page_text"), p).alias(n) for n, p in patterns.items()]
+    text = F.col("page_text")
+    return pages.select(
+        "file_id",
+        "page_no",
+        *[first_match(text, p).alias(n) for n, p in patterns.items()],
+        section_of_page(text).alias("section_found"),
+        has_cards(F.col("page_no"), text).alias("has_cards"),
     )
+
+
+def header_fields(facts: DataFrame, fields: Sequence[str] = tuple(P.HEADER_FIELDS)) -> DataFrame:
+    """Per file, the first match of every header field in page order, and its page count."""
     firsts = [
-        F.min(F.when(F.col(n).isNotNull(), F.struct("page_no", n)))[n].alias(n) for n in patterns
+        F.min(F.when(F.col(n).isNotNull(), F.struct("page_no", n)))[n].alias(n) for n in fields
     ]
-    return found.groupBy("file_id").agg(F.count(F.lit(1)).alias("key_rows"), *firsts)
+    return facts.groupBy("file_id").agg(F.count(F.lit(1)).alias("key_rows"), *firsts)
 
 
 def merge_metadata(batch: Column, extracted: Column) -> Column:
@@ -151,7 +163,7 @@ def parse_cards(cards: DataFrame) -> DataFrame:
             "_bottom": text.rlike(P.BOTTOM_SERIAL),
             "_any_end": text.rlike(P.LINE_END_SERIAL),
         }
-    ).where(F.size("_lines") >= 2)
+    )
 
     def serial_group(group: int) -> Column:
         return (
@@ -214,7 +226,8 @@ def parse_cards(cards: DataFrame) -> DataFrame:
     furniture = F.coalesce(
         (c("name_dev") == P.NOT_A_NAME) | c("name_dev").rlike("|".join(P.NOT_IN_A_NAME)), F.lit(False)
     )
-    kept = cleaned.where((c("name_dev").isNotNull() | c("id_code").isNotNull()) & ~furniture)
+    is_card = (F.size("_lines") >= 2) & (c("name_dev").isNotNull() | c("id_code").isNotNull()) & ~furniture
+    kept = filter_late(cleaned, is_card)
     named = kept.withColumns(
         {
             "name_lat": blank_null(to_latin(c("name_dev"))),
@@ -285,25 +298,33 @@ def section_of_page(text: Column) -> Column:
     return F.when((F.length(found) > 4) & ~wrong, F.regexp_replace(found, r"\s+", " "))
 
 
-def card_pages(pages: DataFrame) -> DataFrame:
-    """Without cover and map pages: pages 1 and 2 need a box mark."""
+def has_cards(page_no: Column, text: Column) -> Column:
+    """False for cover and map pages: pages 1 and 2 need a box mark."""
     marked = F.lit(False)
     for m in P.BOX_MARKS:
-        marked = marked | F.col("page_text").contains(m)
-    return pages.where((F.col("page_no") > 2) | marked)
+        marked = marked | text.contains(m)
+    return (page_no > 2) | marked
+
+
+def card_pages(pages: DataFrame) -> DataFrame:
+    """Pages that may hold cards."""
+    return pages.where(has_cards(F.col("page_no"), F.col("page_text")))
 
 
 def extract_cards(pages: DataFrame, batch_metadata: dict[str, str] | None = None) -> DataFrame:
-    """Cards of every page of ``pages(file_id, page_no, page_text)`` with their section and header fields."""
+    """Cards of every page of ``pages(file_id, page_no, page_text)`` with their section and header fields.
+
+    Page texts are read twice: once for the narrow page facts, which are
+    written because two steps use them, and once for the cards.
+    """
     meta = batch_metadata or {}
-    with_cards = card_pages(pages)
-    sections = with_cards.select("file_id", "page_no", section_of_page(F.col("page_text")).alias("_found"))
-    sections = carry_forward(sections, "file_id", "page_no", "_found", "section").drop("_found")
-    cards = parse_cards(card_texts(with_cards)).drop("page_text")
-    headers = header_fields(pages)
+    facts = cut_lineage(page_facts(pages), "page-facts")
+    found = facts.where("has_cards").select("file_id", "page_no", "section_found")
+    sections = carry_forward(found, "file_id", "page_no", "section_found", "section").drop("section_found")
+    cards = parse_cards(card_texts(card_pages(pages))).drop("page_text")
     wide = cards.join(sections, ["file_id", "page_no"], "left")
     wide = attach_by_key(
-        wide, headers, ["file_id"], list(P.HEADER_FIELDS), ["file_id", "page_no", "card_no"]
+        wide, header_fields(facts), ["file_id"], list(P.HEADER_FIELDS), ["file_id", "page_no", "card_no"]
     )
     merged = {
         n: merge_metadata(F.lit(meta.get(n)).cast("string"), F.col(n)) for n in P.HEADER_FIELDS

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_house, normalize_id_code, normalize_latin, unspaced
+from ..functions.text import joined, normalize_house, normalize_id_code, normalize_latin
 from .keyed import attach_by_key, key_stats, with_key_stats
 from .records import blank_null
 
@@ -46,8 +46,8 @@ def serial_key() -> Column:
 
 def composite_key() -> Column:
     """Name + relative + house + two-year age bracket; NULL unless both names have 3 characters."""
-    name = unspaced(F.coalesce(blank_null(c("norm_name_lat")), normalize_latin(c("name_lat"))))
-    rel = unspaced(F.coalesce(blank_null(c("norm_rel_lat")), normalize_latin(c("rel_name_lat"))))
+    name = joined(F.coalesce(blank_null(c("norm_name_lat")), normalize_latin(c("name_lat"))))
+    rel = joined(F.coalesce(blank_null(c("norm_rel_lat")), normalize_latin(c("rel_name_lat"))))
     house = F.coalesce(blank_null(c("norm_house")), normalize_house(c("house_number")))
     bracket = F.coalesce((F.floor(F.nullif(c("age"), F.lit(0)) / 2) * 2).cast("string"), F.lit("noage"))
     key = F.concat(name, F.lit("_rel_"), rel, F.lit("_h_"), house, F.lit("_age_"), bracket)

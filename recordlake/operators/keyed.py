@@ -11,6 +11,17 @@ HOT_KEYS = 1000  # at most this many keys take the broadcast path, whatever the
 SPREAD = 256
 
 
+def filter_late(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns without computing them twice.
+
+    A plain filter is pushed below the projection that makes its columns and
+    repeats their expressions there. Use it for cheap conditions on stored
+    columns and this one for conditions on costly derived columns.
+    """
+    kept = df.select("*", F.explode(F.when(condition, F.array(F.lit(1)))).alias("_keep"))
+    return kept.drop("_keep")
+
+
 def key_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """One row per non-null key with the given aggregates and the row count ``key_rows``."""
     present = df

@@ -47,21 +47,33 @@ def errors_of_batch(errors: DataFrame, files: DataFrame, batch_id: object) -> Da
     return errors.join(ids, "source_file_id", "left_semi")
 
 
+def one_to_many(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """Left join of unique rows to any number of partners, safe for a key with very many.
+
+    A left join cannot split a hot key of its right side. So rows with partners
+    come from an inner join, which can, and the others from an anti join.
+    """
+    matched = many.join(one, key)
+    partners = many.select(key).distinct()
+    lonely = one.join(partners, key, "left_anti")
+    columns = [*one.columns, *[x for x in many.columns if x != key]]
+    filled = lonely.select(
+        "*", *[F.lit(None).cast(t).alias(x) for x, t in many.dtypes if x != key]
+    )
+    return matched.select(columns).unionByName(filled.select(columns))
+
+
 def record_errors(records: DataFrame, errors: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Every record with its errors, one row per error and one for a record without any."""
-    one = errors.select(c("record_id"), "error_code", "severity", "is_resolved")
-    return records.select(*keep).join(one, "record_id", "left")
+    listed = errors.select("record_id", "error_code", "severity", "is_resolved")
+    return one_to_many(records.select(*keep), listed, "record_id")
 
 
 def batch_files(batches: DataFrame, files: DataFrame) -> DataFrame:
     """Every batch with its files, one row per file, and the number of files."""
     counts = files.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_files"))
-    listed = files.select("batch_id", "source_file_id", "original_filename")
-    return (
-        batches.join(counts, "batch_id", "left")
-        .join(listed, "batch_id", "left")
-        .withColumn("n_files", F.coalesce("n_files", F.lit(0)))
-    )
+    sized = batches.join(counts, "batch_id", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+    return one_to_many(sized, files.select("batch_id", "source_file_id", "original_filename"), "batch_id")
 
 
 def with_group_size(

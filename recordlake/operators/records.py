@@ -13,6 +13,7 @@ from ..functions.text import (
     code_gender,
     code_relation,
     detect_script,
+    let,
     normalize_devanagari,
     normalize_house,
     normalize_id_code,
@@ -22,6 +23,7 @@ from ..functions.text import (
     trim_ws,
 )
 from ..functions.translit import first_devanagari, to_latin
+from .keyed import filter_late
 
 TABULAR_CONFIDENCE = 0.98  # Fixed value.
 
@@ -140,18 +142,31 @@ def suggest_fields(headers: DataFrame, column: str = "header") -> DataFrame:
 
 
 # -------------------------------------------------------- canonical records
-def complete_names(lat: Column, dev: Column, auto: Column) -> tuple[Column, Column]:
-    """(Latin, Devanagari) name: each script as given, the missing one transliterated."""
-    is_dev = detect_script(auto) == "devanagari"
-    from_dev = F.coalesce(dev, F.when(lat.isNull() & is_dev, auto))
-    from_lat = F.coalesce(lat, F.when(dev.isNull() & ~is_dev, auto))
-    dev_text = blank_null(normalize_devanagari(from_dev))
-    lat_text = blank_null(normalize_latin(from_lat))
-    return (
-        F.coalesce(lat_text, blank_null(to_latin(from_dev))),
-        F.coalesce(dev_text, blank_null(first_devanagari(from_lat)), lat_text),
+def complete_names(lat: Column, dev: Column, auto: Column) -> Column:
+    """struct(lat, dev): each script as given, the missing one transliterated."""
+    given = F.struct(
+        lat.alias("lat"), dev.alias("dev"), auto.alias("auto"),
+        (detect_script(auto) == "devanagari").alias("auto_is_dev"),
     )
 
+    def sources(g: Column) -> Column:
+        from_dev = F.coalesce(g["dev"], F.when(g["lat"].isNull() & g["auto_is_dev"], g["auto"]))
+        from_lat = F.coalesce(g["lat"], F.when(g["dev"].isNull() & ~g["auto_is_dev"], g["auto"]))
+        return F.struct(
+            blank_null(normalize_devanagari(from_dev)).alias("dev"),
+            blank_null(normalize_latin(from_lat)).alias("lat"),
+        )
+
+    def filled(n: Column) -> Column:
+        return F.struct(
+            F.coalesce(n["lat"], F.when(n["dev"].isNotNull(), blank_null(to_latin(n["dev"])))).alias("lat"),
+            F.coalesce(
+                n["dev"], F.when(n["lat"].isNotNull(), blank_null(first_devanagari(n["lat"]))), n["lat"]
+            ).alias("dev"),
+        )
+
+    return let(let(given, sources), filled)
+
 
 def canonical_records(
     df: DataFrame,
@@ -193,24 +208,25 @@ def canonical_records(
     # A pair of relative names is used as given; otherwise one value decides by its script.
     both = c("_rel_dev").isNotNull() & c("_rel_lat").isNotNull()
     rel_one = F.when(~both, F.coalesce("_rel_auto", "_rel_dev", "_rel_lat"))
-    name_lat, name_dev = complete_names(c("_name_lat"), c("_name_dev"), trim_ws(c("_name_auto")))
-    rel_lat, rel_dev = complete_names(
+    named_by = complete_names(c("_name_lat"), c("_name_dev"), trim_ws(c("_name_auto")))
+    related_by = complete_names(
         F.when(both, c("_rel_lat")), F.when(both, c("_rel_dev")), trim_ws(rel_one)
     )
+    picked = picked.withColumns({"_name": named_by, "_rel": related_by})
     coded = picked.select(
         *carried, "ingest_seq", "raw", "ward", "part", "area", "constituency", "district",
         parse_int_prefix(c("_serial"), c("ingest_seq").cast("int")).alias("source_serial_number"),
         blank_null(normalize_id_code(c("_id_code"))).alias("id_code"),
-        name_lat.alias("name_lat"),
-        name_dev.alias("name_dev"),
+        c("_name.lat").alias("name_lat"),
+        c("_name.dev").alias("name_dev"),
         code_relation(c("_relation_type"), c("_father"), c("_husband"), c("_mother")).alias("relation_type"),
-        rel_lat.alias("rel_name_lat"),
-        rel_dev.alias("rel_name_dev"),
+        c("_rel.lat").alias("rel_name_lat"),
+        c("_rel.dev").alias("rel_name_dev"),
         code_gender(c("_gender")).alias("gender"),
         parse_int_prefix(c("_age")).alias("age"),
         blank_null(normalize_house(c("_house"))).alias("house_number"),
     )
-    named = coded.where(c("name_lat").isNotNull() | c("name_dev").isNotNull())
+    named = filter_late(coded, c("name_lat").isNotNull() | c("name_dev").isNotNull())
     return as_records(with_defaults(named, meta).withColumn("status", tabular_status()))
 
 

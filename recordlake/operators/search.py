@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import (
+    joined,
+    let,
     normalize_devanagari,
     normalize_house,
     normalize_id_code,
     normalize_latin,
     trim_ws,
-    unspaced,
 )
 from ..functions.translit import expand_query, query_script
 
@@ -120,12 +121,12 @@ def _tier(test: Column, score_label: tuple[int, str]) -> tuple[Column, int, str]
 
 def name_tiers(name: Column, cand: Column, script: str, fuzzy: bool) -> list[tuple[Column, int, str]]:
     """Match tests of a normalised name against one candidate, best first."""
-    joined, cand_joined = unspaced(name), unspaced(cand)
+    whole, cand_whole = joined(name), joined(cand)
     tiers = [
         _tier(name == cand, NAME_EXACT[script]),
-        _tier(joined == cand_joined, NAME_JOINED),
+        _tier(whole == cand_whole, NAME_JOINED),
         # A spaced prefix is also a prefix once blanks are gone.
-        _tier(joined.startswith(cand_joined), NAME_PREFIX),
+        _tier(whole.startswith(cand_whole), NAME_PREFIX),
         _tier(name.contains(cand), NAME_PART),
     ]
     if fuzzy:
@@ -247,14 +248,19 @@ def score_records(records: DataFrame, f: SearchFilters, words: dict[str, dict])
     if not hits:
         no_labels = F.array().cast("array<string>")
         return records.withColumns({"score": F.lit(NO_TEXT_SCORE), "matched_fields": no_labels})
-    found = records.withColumn("_hits", F.array_compact(F.array(*hits)))
-    scores = F.array_max(F.transform("_hits", lambda h: h["score"]))
-    if text_hits and not id_query:
-        # Other hits are constants of a filter that already passed: they do not make a text match.
-        constant = len(hits) - len(text_hits)
-        found = found.where(F.size("_hits") > constant)
-    labels = F.array_distinct(F.transform("_hits", lambda h: h["label"]))
-    return found.withColumns({"score": scores, "matched_fields": labels}).drop("_hits")
+    # Hits of a filter that already passed are constants: with a text they do not make a match.
+    needed = len(hits) - len(text_hits) if text_hits and not id_query else -1
+
+    def summary(found: Column) -> Column:
+        scores = F.transform(found, lambda h: h["score"])
+        labels = F.array_distinct(F.transform(found, lambda h: h["label"]))
+        return F.when(
+            F.size(found) > needed,
+            F.array(F.struct(F.array_max(scores).alias("score"), labels.alias("matched_fields"))),
+        )
+
+    # A generator scores each row once; a filter on the score would be pushed down and score it again.
+    return records.select("*", F.inline(let(F.array_compact(F.array(*hits)), summary)))
 
 
 # ------------------------------------------------------------ order, pages

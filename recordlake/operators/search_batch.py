@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_house, normalize_id_code, trim_ws, unspaced
+from ..functions.text import joined, normalize_house, normalize_id_code, trim_ws
 from ..session import cut_lineage
 from . import search as S
 
@@ -47,9 +47,9 @@ def containing_pairs(values: DataFrame, candidates: DataFrame) -> DataFrame:
     is missed.
     """
     cand_grams = candidates.select(
-        "query_id", "field", "cand", F.explode(_candidate_grams(unspaced(c("cand")))).alias("gram")
+        "query_id", "field", "cand", F.explode(_candidate_grams(joined(c("cand")))).alias("gram")
     )
-    value_grams = values.select("field", "value", F.explode(_value_grams(unspaced(c("value")))).alias("gram"))
+    value_grams = values.select("field", "value", F.explode(_value_grams(joined(c("value")))).alias("gram"))
     value_grams = value_grams.join(cand_grams.select("field", "gram").distinct(), ["field", "gram"], "left_semi")
     frequency = value_grams.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n"))
     counted = cand_grams.join(frequency, ["field", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

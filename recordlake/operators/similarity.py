@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, normalize_devanagari, normalize_latin
+from ..functions.text import fold_latin, let, normalize_devanagari, normalize_latin
 from . import search as S
 
 c = F.col
@@ -155,14 +155,13 @@ def trigram_join(queries: DataFrame, values: DataFrame, threshold: float = NAME_
 # ------------------------------------------------------------ token search
 def tokens(text: Column) -> Column:
     """Words of a text in either script, lower case and accents folded."""
-    return F.filter(
-        F.split(F.concat_ws(" ", normalize_latin(text), _devanagari_words(text)), " "), lambda w: w != ""
+    latin = F.split(F.lower(fold_latin(F.coalesce(text, F.lit("")))), "[^a-z0-9/_-]+")
+    dev = F.when(
+        text.rlike(r"[\u0900-\u097F]"),
+        F.split(normalize_devanagari(F.regexp_replace(text, r"[^\u0900-\u097F]+", " ")), " "),
     )
-
-
-def _devanagari_words(text: Column) -> Column:
-    only = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\u0900-\u097F]+", " ")
-    return F.when(text.rlike(r"[\u0900-\u097F]"), normalize_devanagari(only)).otherwise("")
+    none = F.array().cast("array<string>")
+    return F.filter(F.concat(latin, F.coalesce(dev, none)), lambda w: w != "")
 
 
 def token_search(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str]) -> DataFrame:
@@ -171,8 +170,8 @@ def token_search(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str])
     Texts stay in their task: only per-document counts of the searched terms
     are exchanged, and the exchange lets both uses of them share one pass.
     """
-    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(x.lower() for x in terms)])
-    counted = docs.select(c(doc_id), F.inline(let(tokens(c(text)), lambda ws: _term_counts(ws, wanted))))
+    wanted = list(dict.fromkeys(x.lower() for x in terms))
+    counted = docs.select(c(doc_id), F.inline(_term_counts(tokens(c(text)), wanted)))
     counted = counted.repartition(c(doc_id))
     per_term = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # One entry per searched term.
@@ -185,10 +184,15 @@ def token_search(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str])
     )
 
 
-def _term_counts(words: Column, wanted: Column) -> Column:
+def _term_counts(words: Column, wanted: Sequence[str]) -> Column:
     """array<struct(term, tf)> of the wanted terms that occur."""
-    counts = F.transform(
-        wanted,
-        lambda t: F.struct(t.alias("term"), F.size(F.filter(words, lambda w: w == t)).alias("tf")),
-    )
-    return F.filter(counts, lambda x: x["tf"] > 0)
+    terms = F.array(*[F.lit(t) for t in wanted])
+
+    def count(found: Column) -> Column:
+        counts = F.transform(
+            terms,
+            lambda t: F.struct(t.alias("term"), F.size(F.filter(found, lambda w: w == t)).alias("tf")),
+        )
+        return F.filter(counts, lambda x: x["tf"] > 0)
+
+    return let(F.filter(words, lambda w: w.isin(list(wanted))), count)

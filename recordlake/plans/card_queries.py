@@ -9,7 +9,7 @@ from ..operators import cards
 from ..operators.keyed import carry_forward
 from ..session import cut_lineage
 from .registry import query
-from .views import r_sql, register, table
+from .views import r_sql, register, spread, table
 
 c = F.col
 
@@ -68,7 +68,7 @@ def register_pages(spark, sf_dir):
     ).otherwise("")
     section = F.when(c("page_no") % 3 == 1, "गहइ नगर\n").otherwise("")
     pages = pages.select("file_id", "page_no", F.concat(header, section, "body").alias("page_text"))
-    return cut_lineage(pages, "pages")
+    return spread(cut_lineage(pages, "pages"))
 
 
 # What the cards say, straight from R. Names of 20 letters at most, so a serial
@@ -106,7 +106,8 @@ def page_header_fields(spark, sf_dir):
         "lang": '<html lang="([a-z]+)"',
         "h1": "<h1>([^<]*)</h1>",
     }
-    return cards.header_fields(pages, patterns).withColumnRenamed("key_rows", "n_pages")
+    facts = cards.page_facts(pages, patterns)
+    return cards.header_fields(facts, list(patterns)).withColumnRenamed("key_rows", "n_pages")
 
 
 @query(

@@ -9,7 +9,7 @@ from ..operators import audit, records
 from ..session import work_folder
 from ..sources import files, json_items, tabular
 from .registry import query
-from .views import r_sql, register, table
+from .views import r_sql, register, spread, table
 
 c = F.col
 
@@ -251,7 +251,7 @@ def json_items_query(spark, sf_dir):
     wrapped = F.concat(F.lit('{"voters": ['), one, F.lit("]}"))
     noisy = F.concat(F.lit("Here you are: ["), one, F.lit("] done"))
     reply = F.when(c("event_id") % 3 == 0, both).when(c("event_id") % 3 == 1, wrapped).otherwise(noisy)
-    replies = table(spark, sf_dir, "events").select(c("event_id").alias("record_id"), reply.alias("reply"))
+    replies = spread(table(spark, sf_dir, "events")).select(c("event_id").alias("record_id"), reply.alias("reply"))
     out = json_items.items_to_records(replies, "reply")
     return out.select(
         c("record_id").cast("bigint").alias("event_id"), "source_serial_number", "name_lat", "id_code", "age", "status"

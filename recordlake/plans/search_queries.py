@@ -8,7 +8,7 @@ from ..operators import search as S
 from ..operators import search_batch, similarity
 from ..operators.search import SearchFilters, search
 from .registry import query
-from .views import r_sql, register, table
+from .views import r_sql, register, spread, table
 
 c = F.col
 
@@ -315,5 +315,5 @@ _TERMS = ["the", "tion", "are", "aux", "von", "es", "with"]
     """,
 )
 def token_search(spark, sf_dir):
-    found = similarity.token_search(table(spark, sf_dir, "documents"), "doc_id", "text", _TERMS)
+    found = similarity.token_search(spread(table(spark, sf_dir, "documents")), "doc_id", "text", _TERMS)
     return found.withColumn("score", F.round("score", 6))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scanned, text, translit
 from ..functions import fixed
 from .registry import query
-from .views import DEVANAGARI_LETTERS, LATIN_LETTERS, r_sql, register, table
+from .views import DEVANAGARI_LETTERS, LATIN_LETTERS, r_sql, register, spread, table
 
 c = F.col
 
@@ -26,7 +26,7 @@ c = F.col
     """,
 )
 def script_profile(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.groupBy("lang", text.detect_script(c("text")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -55,7 +55,7 @@ for _spelled, _composed in fixed.COMPOSED_LETTERS.items():
     """,
 )
 def norm_devanagari(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     signs = F.translate(F.lower("text"), _SIGNS_FROM, _SIGNS_TO)
     return docs.select("doc_id", text.normalize_devanagari(signs).alias("norm_text"))
 
@@ -68,7 +68,7 @@ def norm_devanagari(spark, sf_dir):
     """,
 )
 def norm_latin(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_latin(c("text")).alias("norm_text"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.normalize_latin(c("text")).alias("norm_text"))
 
 
 @query(
@@ -157,7 +157,7 @@ def ocr_id_repair(spark, sf_dir):
     """,
 )
 def ocr_name_conf(spark, sf_dir):
-    cleaned = table(spark, sf_dir, "documents").select("doc_id", scanned.clean_name(c("text")).alias("f"))
+    cleaned = spread(table(spark, sf_dir, "documents")).select("doc_id", scanned.clean_name(c("text")).alias("f"))
     return cleaned.select("doc_id", c("f.value").alias("value"), c("f.confidence").alias("confidence"))
 
 

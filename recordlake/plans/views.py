@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a small table comes in fewer splits than there are cores.
+
+    Large tables have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _every(n: int) -> Column:
     return c("p_partkey") % n == 0
 
@@ -37,7 +46,7 @@ def _pick(n: int, *values: str) -> Column:
 def register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record view R of ``part``: one record per part."""
     key = c("p_partkey")
-    drafts = table(spark, sf_dir, "part").select(
+    drafts = spread(table(spark, sf_dir, "part")).select(
         key.alias("record_id"),
         key.alias("ingest_seq"),
         F.concat(F.lit("B"), (key % 7).cast("string")).alias("batch_id"),

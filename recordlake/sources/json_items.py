@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import (
     code_by_rules,
+    let,
     normalize_devanagari,
     normalize_house,
     normalize_id_code,
@@ -37,20 +38,24 @@ def item_array(c: Column) -> Column:
     object, with or without a code fence; a broken text is searched for the
     array inside it.
     """
-    text = trim_ws(c)
-    text = F.regexp_replace(text, r"^```(?:json)?\s*|\s*```$", "")
-    inner = F.coalesce(F.get_json_object(text, "$.voters"), F.get_json_object(text, "$.records"))
-    whole = (
-        F.when(text.startswith("["), text)
-        .when(text.startswith("{") & inner.startswith("["), inner)
-        .when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]")))
-    )
-    found = blank_null(F.regexp_extract(text, r"(?s)\[\s*\{.*\}\s*\]", 0))
+    unfenced = F.regexp_replace(trim_ws(c), r"^```(?:json)?\s*|\s*```$", "")
 
     def valid(x: Column) -> Column:
         return F.when(F.try_parse_json(x).isNotNull(), x)
 
-    return F.coalesce(F.when(valid(text).isNotNull(), whole), valid(found))
+    def as_array(text: Column) -> Column:
+        inner = F.coalesce(F.get_json_object(text, "$.voters"), F.get_json_object(text, "$.records"))
+        wrapped = let(
+            inner,
+            lambda x: F.when(x.startswith("["), x).otherwise(F.concat(F.lit("["), text, F.lit("]"))),
+        )
+        return F.when(text.startswith("["), text).when(text.startswith("{"), wrapped)
+
+    def find(text: Column) -> Column:
+        inside = blank_null(F.regexp_extract(text, r"(?s)\[\s*\{.*\}\s*\]", 0))
+        return F.coalesce(as_array(valid(text)), valid(inside))
+
+    return let(unfenced, find)
 
 
 def items_to_records(

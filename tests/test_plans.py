@@ -43,3 +43,32 @@ def test_entry(spark):
 
     assert set(oracle_sql()) <= set(queries())
     assert entry(spark).columns == ["record_id", "score"]
+
+
+def test_filters_reach_a_stored_table(spark, sf_dir, tmp_path):
+    from recordlake.operators.search import SearchFilters, search
+    from recordlake.plans.views import register
+
+    path = str(tmp_path / "records")
+    register(spark, sf_dir).write.parquet(path)
+    stored = spark.read.parquet(path)
+    found = search(stored, SearchFilters(query="widget", gender="FEMALE", ward="Brand#3"))
+    plan = found.matches.select("record_id", "score")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(gender,FEMALE)" in plan and "EqualTo(ward,Brand#3)" in plan
+    read = plan[plan.index("ReadSchema"):]
+    assert "house_number" not in read and "name_lat" in read
+    page = found.page._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in page or "CollectLimit" in page or "GlobalLimit" in page
+
+
+@pytest.mark.parametrize("name", ["top_k_per_query", "first_errors", "retention_per_user"])
+def test_top_n_is_limited_before_the_shuffle(spark, sf_dir, name):
+    plan = REGISTRY.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_per_key_aggregate_is_computed_once(spark, sf_dir):
+    df = REGISTRY.QUERIES["dup_id_in_batch"](spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +22,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared checkpoint folder of the cluster.
+    """A fresh folder below ``spark.checkpoint.dir``, which the driver and all executors must share.
 
-    Only where the session names none (tests, one machine) a local folder is
-    made and remembered in the session.
+    Only a local master may leave it unset (tests, one machine); its own folder is then used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("recordlake.work.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="recordlake-")
-        spark.conf.set("recordlake.work.dir", base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"/tmp/recordlake/{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/recordlake/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -8,9 +8,9 @@ collection differ: at most 2 * (1 - s ** rows) ** side of the pairs of similarit
 0.06 % at 0.8 with the defaults and nothing to speak of above 0.9.
 
 Exact copies of a set are one class from the start. In a table's bucket every
-member is compared with the smallest one; pairs of members are formed only where
-that leaves different components in the bucket, and only those that the
-distances to the smallest member (a metric) still allow.
+member is compared with the most central one, the leader. Where that leaves different
+components among the members of a leader, those outside the largest component
+are compared with all of them, block by block, without forming pairs.
 """
 
 from __future__ import annotations
@@ -98,41 +98,45 @@ def sketches(docs: DataFrame, n: int, side: int, rows: int) -> DataFrame:
     return docs.mapInArrow(lambda it: in_batches(schema, made(it)), schema)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, most_in_turn: int = 2000) -> DataFrame:
+def unpacked(data: bytes) -> np.ndarray:
+    """The shingles of a packed set, sorted."""
+    wide = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return np.sort(wide.reshape(-1).view("<u8"))
+
+
+def packed_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in ``wanted``: the whole set, 6 bytes for each shingle.
+
+    With 48 bits of a hash, two different shingles of two documents of 1,000 fall
+    together once in 10^8 such pairs.
+    """
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.BinaryType())])
+
+    def sets(batches):
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield doc, shingle_set(text, n).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: in_batches(schema, sets(it), 256), schema)
+
+
+def verified(sets: DataFrame, pairs: DataFrame, percent: int, most_in_turn: int = 2000) -> DataFrame:
     """(a, b, same, n_a, n_b, linked) for pairs (a, b), on the whole sets of both documents.
 
-    Texts are joined with the list of their partners and turned into sets; a
-    partition then holds one set b and streams the members a after it. The
+    A partition holds one set b and streams the members a after it. The
     members of a frequent b are dealt over several such turns.
     """
-    id_type = docs.schema["doc_id"].dataType
+    id_type = sets.schema["doc_id"].dataType
     turns = pairs.groupBy("b").agg(F.ceil(F.count("*") / most_in_turn).cast("int").alias("turns"))
     wanted = (
         pairs.join(turns, "b")
-        .select(c("a").alias("doc_id"), F.struct("b", F.pmod(F.xxhash64("a"), "turns").cast("int").alias("turn")).alias("to"))
-        .union(
-            turns.withColumn("turn", F.explode(F.sequence(F.lit(0), c("turns") - 1))).select(
-                c("b").alias("doc_id"), F.struct("b", "turn").alias("to")
-            )
-        )
-        .groupBy("doc_id").agg(F.collect_list("to").alias("to"))
+        .select(c("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), "turns").cast("int").alias("turn"))
+        .union(turns.select(c("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0), c("turns") - 1)).alias("turn")))
     )
-    schema = T.StructType(
-        [T.StructField("b", id_type), T.StructField("turn", T.IntegerType()), T.StructField("member", T.IntegerType()),
-         T.StructField("a", id_type), T.StructField("shingles", T.BinaryType())]
-    )
-
-    def sets(batches):
-        for b in batches:
-            for doc, text, to in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                # 48 bits of each hash: two different shingles of a pair fall together once in 10^8 pairs of 1,000
-                s = shingle_set(text, n).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                for x in to:
-                    yield x["b"], x["turn"], int(x["b"] != doc), doc, s
-
     dealt = (
-        docs.join(wanted, "doc_id").select("doc_id", "text", "to")
-        .mapInArrow(lambda it: in_batches(schema, sets(it), 256), schema)
+        sets.join(wanted, "doc_id")
+        .select("b", "turn", (c("b") != c("doc_id")).cast("int").alias("member"), c("doc_id").alias("a"), "shingles")
         .repartition("b", "turn").sortWithinPartitions("b", "turn", "member")
     )
     out = T.StructType(
@@ -140,34 +144,24 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, most_in_tu
         + [T.StructField(x, T.LongType()) for x in ("same", "n_a", "n_b")] + [T.StructField("linked", T.BooleanType())]
     )
 
-    def unpack(data: bytes) -> np.ndarray:
-        wide = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-        wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-        return np.sort(wide.reshape(-1).view("<u8"))
-
     def compared(batches):
         held, turn = [], None
         for batch in batches:
             for b, k, member, a, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if (b, k) != turn:
                     held, turn = [], (b, k)
+                x = unpacked(data)
                 if not member:
-                    held.append(unpack(data))
+                    held.append(x)
                     continue
-                x = unpack(data)
-                best = None
-                for y in held:
-                    same = 0
-                    if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) or best is None:
-                        at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                        same = int((y[at] == x).sum()) if len(y) else 0
-                    row = (a, b, same, len(x), len(y), 100 * same >= percent * (len(x) + len(y) - same))
-                    best = max(best or row, row, key=lambda r: r[2] / max(1, r[3] + r[4] - r[2]))
-                if best:
-                    yield best
-
-    found = dealt.mapInArrow(lambda it: in_batches(out, compared(it)), out)
-    return found.dropDuplicates(["a", "b"])
+                rows = []
+                for y in held:  # more than one only where rows share an id
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    same = int((y[at] == x).sum())
+                    rows.append((a, b, same, len(x), len(y), 100 * same >= percent * (len(x) + len(y) - same)))
+                yield max(rows, key=lambda r: r[2] / (r[3] + r[4] - r[2]))
+
+    return dealt.mapInArrow(lambda it: in_batches(out, compared(it)), out).dropDuplicates(["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -227,22 +221,25 @@ def near_duplicates(
 
     tables = f"transform(sequence(0, {side * side - 1}), t -> xxhash64(t, halves[t div {side}], halves[{side} + t % {side}]))"
     keyed = first.select("doc_id", c("n_shingles").alias("n"), F.explode(F.expr(tables)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    hits = cut_lineage(keyed.join(shared.drop("members"), "key"), "buckets")
-
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    hits = cut_lineage(keyed.join(shared, "key"), "buckets")
+    # the text that others were made from shares most buckets with most of them
+    central = hits.groupBy("doc_id").agg(F.sum("members").alias("central"))
+    hits = hits.drop("members").join(central, "doc_id")
+    lead = hits.groupBy("key").agg(F.max_by("doc_id", F.struct("central", F.xxhash64("doc_id"))).alias("leader"))
+    hits = cut_lineage(hits.join(lead, "key"), "led")
+
+    sets = cut_lineage(packed_sets(texts, hits.select("doc_id").distinct(), n), "sets")
     stars = hits.where(c("doc_id") != c("leader")).select(c("doc_id").alias("a"), c("leader").alias("b")).distinct()
-    checked = cut_lineage(verified(texts, cut_lineage(stars, "star_pairs"), n, percent), "stars")
-    links = checked.where("linked").select(c("a").alias("u"), c("b").alias("v"))
-    part = cut_lineage(components(links), "components")
-
-    rest = remaining(hits, checked, part, percent)
-    more = verified(texts, cut_lineage(rest, "pairs"), n, percent).where("linked").select(c("a").alias("u"), c("b").alias("v"))
+    stars = cut_lineage(stars, "star_pairs")
+    links = cut_lineage(verified(sets, stars, percent).where("linked").select(c("a").alias("u"), c("b").alias("v")), "links")
+    links = links.union(cut_lineage(remaining_links(stars, links, sets, percent), "more_links"))
     of = first.select("f1", "f2", c("doc_id").alias("class"))
     # rows that share an id but not a text tie their classes together
     mine = named.join(of, ["f1", "f2"]).groupBy("doc_id")
     tied = mine.agg(F.min("class").alias("v"), F.max("class").alias("high")).where("v != high").drop("high")
     ties = named.join(of, ["f1", "f2"]).join(tied, "doc_id").select(c("class").alias("u"), "v")
-    whole = components(links.union(more).union(ties))
+    whole = components(links.union(ties))
     out = sketch.join(of, ["f1", "f2"], "left")
     out = out.join(whole, out["class"] == whole["node"], "left")
     component = F.coalesce("component", "class", "doc_id")
@@ -252,38 +249,79 @@ def near_duplicates(
     )
 
 
-def remaining(hits: DataFrame, checked: DataFrame, part: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a bucket but no component, and that may still be linked.
+def remaining_links(stars: DataFrame, links: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links (u, v) between members of a leader's group that its star left in different components.
 
-    b is a member that its bucket's smallest member does not reach. Sizes must
-    allow the similarity, and so must the distances x, y to the smallest member:
-    the distance of a and b is at least their difference.
+    Two documents of one bucket are in the group of that bucket's leader. The
+    members outside a group's largest component are dealt over blocks of about
+    ``block``; each block is held as an index of its shingles, and all members of
+    the group are streamed past it. No pairs are formed; of the links of a
+    document with one component, one is returned for each block.
     """
-    comp = part.withColumnRenamed("component", "comp")
-    marked = hits.join(comp, hits["doc_id"] == comp["node"], "left").drop("node")
-    marked = marked.withColumn("comp", F.coalesce("comp", "doc_id"))
-    mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    far = checked.select(
-        c("a").alias("doc_id"), c("b").alias("leader"), (1 - c("same") / (c("n_a") + c("n_b") - c("same"))).alias("far")
+    id_type = sets.schema["doc_id"].dataType
+    part = components(links)
+    group = stars.select(c("b").alias("leader"), c("a").alias("doc_id")).union(
+        stars.select(c("b").alias("leader"), c("b").alias("doc_id")).distinct()
     )
-    members = cut_lineage(
-        marked.join(mixed.select("key"), "key").where(c("doc_id") != c("leader")).join(far, ["doc_id", "leader"]), "mixed"
+    group = group.join(part, group["doc_id"] == part["node"], "left")
+    group = cut_lineage(group.select("leader", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "groups")
+    sizes = group.groupBy("leader", "comp").agg(F.count("*").alias("n"))
+    mixed = (
+        sizes.groupBy("leader")
+        .agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), (F.sum("n") - F.max("n")).alias("few"))
+        .where("few > 0").withColumn("blocks", F.ceil(c("few") / block).cast("int"))
     )
-    lead = comp.select(c("node").alias("leader"), c("comp").alias("lead_comp"))
-    few = members.join(lead, "leader", "left").where(c("comp") != F.coalesce("lead_comp", "leader"))
-    few = few.select("key", c("doc_id").alias("b"), c("comp").alias("b_comp"), c("n").alias("b_n"), c("far").alias("b_far"))
-    many = members.join(lead, "leader", "left").select(
-        "key", c("doc_id").alias("a"), "comp", "n", "far", (c("comp") != F.coalesce("lead_comp", "leader")).alias("also"),
-    )
-    slack = 1 - percent / 100 + 1e-9
-    return (
-        many.join(few, "key")
-        .where(c("comp") != c("b_comp"))
-        .where(~c("also") | (c("a") > c("b")))
-        .where(100 * F.least("n", "b_n") >= percent * F.greatest("n", "b_n"))
-        .where(F.abs(c("far") - c("b_far")) <= slack)
-        .select("a", "b").distinct()
+    members = cut_lineage(group.join(mixed, "leader"), "mixed_groups")
+    own = F.pmod(F.xxhash64("doc_id"), c("blocks")).cast("int")
+    few = members.where(c("comp") != c("most")).select("leader", own.alias("block"), F.lit(0).alias("turn"), "doc_id", "comp")
+    every = members.select("leader", F.explode(F.sequence(F.lit(0), c("blocks") - 1)).alias("block"), F.lit(1).alias("turn"), "doc_id", "comp")
+    dealt = (
+        sets.join(few.union(every), "doc_id").select("leader", "block", "turn", "doc_id", "comp", "shingles")
+        .repartition("leader", "block").sortWithinPartitions("leader", "block", "turn")
     )
+    out = T.StructType([T.StructField("u", id_type), T.StructField("v", id_type)])
+
+    def linked(batches):
+        now, held, index, told = None, [], None, set()
+        for batch in batches:
+            for leader, k, turn, doc, comp, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (leader, k) != now:
+                    now, held, index, told = (leader, k), [], None, set()
+                x = unpacked(data)
+                if not turn:
+                    held.append((doc, comp, x))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    index = _index([y for _, _, y in held])
+                    size = np.array([len(y) for _, _, y in held])
+                same = _overlaps(x, *index, len(held))
+                for i in np.flatnonzero(100 * same >= percent * (size + len(x) - same)):
+                    other, its, _ = held[i]
+                    if its != comp and (other, comp) not in told:
+                        told.add((other, comp))
+                        yield doc, other
+
+    return dealt.mapInArrow(lambda it: in_batches(out, linked(it)), out).distinct()
+
+
+def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles, where each one's owners begin, owners)."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    distinct, begin = np.unique(every[order], return_index=True)
+    return distinct, np.append(begin, len(every)), owner[order]
+
+
+def _overlaps(x: np.ndarray, distinct: np.ndarray, begin: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles of ``x`` each owner has."""
+    at = np.minimum(np.searchsorted(distinct, x), len(distinct) - 1)
+    at = at[distinct[at] == x]
+    size = begin[at + 1] - begin[at]
+    place = np.arange(size.sum()) + np.repeat(begin[at] - (np.cumsum(size) - size), size)
+    return np.bincount(owner[place], minlength=n)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:

@@ -40,7 +40,7 @@ _cache: dict[str, int] = {}
 
 
 def _bucket(word: str, size: int) -> int:
-    if len(_cache) > 500_000:
+    if len(_cache) > 250_000:
         _cache.clear()
     h = _cache.get(word)
     if h is None:

@@ -37,7 +37,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _hash(word: bytes) -> int:
-    if len(_word_hashes) > 1_000_000:
+    if len(_word_hashes) > 300_000:
         _word_hashes.clear()
     h = _word_hashes[word] = xxhash.xxh3_64_intdigest(word)
     return h

@@ -24,12 +24,12 @@ from .common import cut_lineage, fresh, id_and_text
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 LARGE = 1e300
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[bytes, tuple[int, int]] = {}
+_known: dict[bytes, int] = {}
 
 
-def _token(word: bytes) -> tuple[int, int]:
-    """(hash of the lower-cased word, shape: 1 lower, 2 capitalised, 3 upper, 4 with digits, 5 signs by their hash)."""
-    if len(_known) > 1_000_000:
+def _token(word: bytes) -> int:
+    """Hash of the lower-cased word, its last 16 bits the shape: 1 lower, 2 capitalised, 3 upper, 4 with digits, from 5 signs by their hash."""
+    if len(_known) > 250_000:
         _known.clear()
     text = word.decode("utf-8", "replace")
     if not (word[:1].isalnum() or word[0] >= 128):
@@ -40,7 +40,7 @@ def _token(word: bytes) -> tuple[int, int]:
         shape = 3
     else:
         shape = 2 if text[:1].isupper() else 1
-    out = _known[word] = (xxhash.xxh3_64_intdigest(text.lower()), shape)
+    out = _known[word] = xxhash.xxh3_64_intdigest(text.lower()) >> 16 << 16 | shape
     return out
 
 
@@ -50,9 +50,10 @@ def features(text: str | None, bits: int) -> np.ndarray:
     if not tokens:
         return np.zeros(0, dtype=np.int64)
     get = _known.get
-    pairs = np.array([get(t) or _token(t) for t in tokens], dtype=np.uint64)
+    both = np.array([get(t) or _token(t) for t in tokens], dtype=np.uint64)
     with np.errstate(over="ignore"):
-        word, shape = pairs[:, 0], pairs[:, 1]
+        shape = both & np.uint64(0xFFFF)
+        word = both ^ shape
         same = np.zeros(len(word), dtype=np.uint64)
         same[1:] = word[1:] == word[:-1]
         shape = shape * np.uint64(2) + same

@@ -38,7 +38,7 @@ class Encoder(dict):
     At most ``keep`` pieces are kept; when full, it starts anew.
     """
 
-    def __init__(self, definition: str, keep: int = 800_000):
+    def __init__(self, definition: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
@@ -114,26 +117,48 @@ def _redact(value: Column, dtype: DataType) -> Column:
     return value
 
 
-_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-_SCALAR = rf"(?:{_TEXT}|-?[0-9][0-9.eE+-]*|true|false|null)"
+_PIECE = re.compile(r'"(?:[^"\\]|\\.)*+"|[\[\]{}]|[^"\[\]{}\s,:]+|[\s,:]+', re.S)
 
 
-def _nested(depth: int) -> str:
-    """Pattern of a JSON object or array with at most ``depth`` levels inside it."""
-    inside = rf'[^{{}}\[\]"]++|{_TEXT}'
-    if depth > 0:
-        inside += "|" + _nested(depth - 1)
-    return rf"(?:\{{(?:{inside})*+\}}|\[(?:{inside})*+\])"
+def redact_text(text: str | None, keys: str = fixed.SECRET_KEYS) -> str | None:
+    """A JSON text in which the value of every key that names a secret is replaced, at any depth.
 
-
-MAX_DEPTH = 6  # levels of nesting inside a secret value
+    Keys are compared as they read, escapes undone. All else stays as written; a text that is not
+    JSON, or too deep to be read, is replaced whole.
+    """
+    if text is None:
+        return None
+    hidden = json.dumps(fixed.REDACTED)
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return hidden
+    secret, out, pieces = re.compile(keys, re.I), [], _PIECE.findall(text)
+    at = 0
+    while at < len(pieces):
+        piece = pieces[at]
+        out.append(piece)
+        at += 1
+        is_key = piece[0] == '"' and at < len(pieces) and ":" in pieces[at]
+        if is_key and secret.search(json.loads(piece, strict=False)):
+            out += [pieces[at], hidden]
+            at, depth = at + 1, 0
+            while True:
+                depth += (pieces[at] in "{[") - (pieces[at] in "}]")
+                at += 1
+                if not depth:
+                    break
+    return "".join(out)
 
 
 def redact_json(c_json: Column, keys: str = fixed.SECRET_KEYS) -> Column:
-    """Replace the value, plain or nested, of every key that names a secret in a JSON text."""
-    name = rf'"(?=[^"]*?(?i:{keys}))[^"\\]*+(?:\\.[^"\\]*+)*+"'
-    key = rf"({name}\s*:\s*)"
-    return F.regexp_replace(c_json, key + f"(?:{_SCALAR}|{_nested(MAX_DEPTH)})", f'$1"{fixed.REDACTED}"')
+    """:func:`redact_text` on a column, in Arrow batches: no built-in function follows nesting to any depth."""
+
+    @F.pandas_udf("string")
+    def redacted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: redact_text(t, keys), na_action="ignore")
+
+    return redacted(c_json)
 
 
 # --------------------------------------------------------------- export

@@ -92,12 +92,17 @@ STORED_ID = "DUPLICATE_EPIC"
 
 
 def flag_repeats(
-    df: DataFrame, keys: Sequence[str], out: str, order: str = "ingest_seq", spread_by: Sequence[str] = ("record_id",)
+    df: DataFrame, keys: Sequence[str], out: str,
+    order: Sequence[str] = ("ingest_seq", "source_file_id", "record_id"), spread_by: Sequence[str] = ("record_id",),
 ) -> DataFrame:
-    """``out`` is true on every row after the first (by ``order``) that shares the key."""
-    stats = {"_first": F.min(order)}
-    marked = with_key_stats(df, keys, stats, spread_by)
-    return marked.select(*df.columns, F.coalesce(c(order) > c("_first"), F.lit(False)).alias(out))
+    """``out`` is true on every row after the first that shares the key.
+
+    Positions restart in every file, so rows are put in a total order: position,
+    then file, then record id (of these, the columns that ``df`` has).
+    """
+    at = F.struct(*[x for x in order if x in df.columns])
+    marked = with_key_stats(df, keys, {"_first": F.min(at)}, spread_by)
+    return marked.select(*df.columns, F.coalesce(at > c("_first"), F.lit(False)).alias(out))
 
 
 def check_batch(drafts: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ class SearchFilters:
     area: str | None = None
     constituency: str | None = None
     constituency_id: str | None = None
-    election_id: str | None = None
+    poll_id: str | None = None
     mode: str = "all"  # exact and transliterated only switch the typo tier off
     page: int = 1
     limit: int = DEFAULT_PAGE
@@ -189,15 +189,17 @@ def _any_contains(text: Column, candidates: Sequence[str]) -> Column:
 
 
 def structured_predicates(f: SearchFilters, columns: Sequence[str]) -> list[Column]:
-    """Equality and range filters; a missing age passes the age range."""
+    """Equality and range filters; a missing age passes the age range. A filter without its column is an error."""
     out = []
     equal = {
         "gender": f.gender, "relation_type": f.relation_type, "area": f.area, "ward": f.ward,
         "part": f.part, "constituency": f.constituency, "constituency_id": f.constituency_id,
-        "election_id": f.election_id, "source_serial_number": f.serial,
+        "poll_id": f.poll_id, "source_serial_number": f.serial,
     }
     for name, value in equal.items():
-        if value is not None and name in columns:
+        if value is not None:
+            if name not in columns:
+                raise ValueError(f"the records have no column {name} to filter by")
             out.append(c(name) == F.lit(value))
     if f.min_age is not None:
         out.append(c("age").isNull() | (c("age") >= f.min_age))

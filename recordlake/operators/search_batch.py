@@ -214,8 +214,9 @@ def top_per_query(matches: DataFrame, page: int = 1, limit: int = S.DEFAULT_PAGE
 
 def query_totals(queries: DataFrame, matches: DataFrame, limit: int = S.DEFAULT_PAGE) -> DataFrame:
     """Matches and pages per query; a query without any has 0 matches and one page."""
+    _, rows = S.page_bounds(1, limit)
     counts = matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     n = F.coalesce("_n", F.lit(0))
     return queries.select("query_id").join(counts, "query_id", "left").select(
-        "query_id", n.alias("total"), F.greatest(F.ceil(n / limit), F.lit(1)).cast("bigint").alias("total_pages")
+        "query_id", n.alias("total"), F.greatest(F.ceil(n / rows), F.lit(1)).cast("bigint").alias("total_pages")
     )

@@ -59,6 +59,20 @@ def dup_id_in_batch(spark, sf_dir):
     return quality.flag_repeats(keyed, ["batch_id", "_id"], "is_repeat").select("record_id", "is_repeat")
 
 
+@query(
+    "dup_id_across_files",
+    r_sql(
+        """SELECT record_id, coalesce(id_code IS NOT NULL AND row_number() OVER (
+        PARTITION BY batch_id, upper(id_code) ORDER BY ingest_seq // 20, source_file_id, record_id) > 1, false) AS is_repeat FROM r"""
+    ),
+)
+def dup_id_across_files(spark, sf_dir):
+    """Positions restart in every file, as they do in files that are read in."""
+    keyed = register(spark, sf_dir).withColumn("_id", F.upper("id_code"))
+    keyed = keyed.withColumn("ingest_seq", F.floor(c("ingest_seq") / 20).cast("bigint"))
+    return quality.flag_repeats(keyed, ["batch_id", "_id"], "is_repeat").select("record_id", "is_repeat")
+
+
 @query(
     "dup_serial_in_part",
     r_sql(

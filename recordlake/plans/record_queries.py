@@ -9,7 +9,7 @@ from ..operators import audit, records
 from ..session import work_folder
 from ..sources import files, json_items, tabular
 from .registry import query
-from .views import r_sql, register, spread, table
+from .views import r_sql, register, table
 
 c = F.col
 
@@ -229,7 +229,7 @@ def split_pages(spark, sf_dir):
     SELECT event_id, CAST(CASE WHEN n = 1 AND k > 0 THEN k ELSE n END AS INTEGER) AS source_serial_number,
       event_type AS name_lat, 'XYZ' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS id_code,
       CAST(CASE WHEN k BETWEEN 1 AND 125 THEN k END AS INTEGER) AS age,
-      CASE WHEN n = 2 THEN 'REJECTED' ELSE 'VALID' END AS status
+      CASE WHEN n = 2 THEN 'REJECTED' ELSE 'VALID' END AS status, 1::BIGINT AS rows_of_id
     FROM i
     """,
 )
@@ -251,10 +251,14 @@ def json_items_query(spark, sf_dir):
     wrapped = F.concat(F.lit('{"voters": ['), one, F.lit("]}"))
     noisy = F.concat(F.lit("Here you are: ["), one, F.lit("] done"))
     reply = F.when(c("event_id") % 3 == 0, both).when(c("event_id") % 3 == 1, wrapped).otherwise(noisy)
-    replies = spread(table(spark, sf_dir, "events")).select(c("event_id").alias("record_id"), reply.alias("reply"))
+    replies = table(spark, sf_dir, "events").select(
+        c("event_id").cast("string").alias("source_file_id"), reply.alias("reply")
+    )
     out = json_items.items_to_records(replies, "reply")
-    return out.select(
-        c("record_id").cast("bigint").alias("event_id"), "source_serial_number", "name_lat", "id_code", "age", "status"
+    same = out.groupBy("record_id").agg(F.count(F.lit(1)).alias("rows_of_id"))
+    return out.join(same, "record_id").select(
+        c("source_file_id").cast("bigint").alias("event_id"), "source_serial_number", "name_lat", "id_code", "age", "status",
+        "rows_of_id",
     )
 
 

@@ -19,7 +19,7 @@ from ..functions.text import (
     trim_ws,
 )
 from ..functions.translit import to_latin
-from ..operators.records import as_records, blank_null, with_defaults
+from ..operators.records import as_records, blank_null, record_key, with_defaults
 
 # Keys an item may carry.
 ITEM_KEYS = [
@@ -61,10 +61,15 @@ def item_array(c: Column) -> Column:
 def items_to_records(
     df: DataFrame, reply: str, page: str | None = None, metadata: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """One record per item of a reply; items marked deleted are REJECTED."""
+    """One record per item of a reply; items marked deleted are REJECTED.
+
+    The record id is made of what names the reply (its own record id, batch, file
+    and page, as far as given), the reply and the item's position in it.
+    """
     meta = metadata or {}
     exploded = df.select(
         *[c for c in df.columns if c != reply],
+        F.xxhash64(reply).alias("_reply"),
         F.posexplode(F.from_json(item_array(F.col(reply)), ITEM_SCHEMA)).alias("_pos", "_item"),
     )
 
@@ -80,7 +85,11 @@ def items_to_records(
     upper_rel = F.upper(F.coalesce(item("relation_type"), F.lit("")))
     upper_gen = F.upper(F.coalesce(item("gender"), F.lit("")))
     shaped = exploded.select(
-        *[c for c in exploded.columns if not c.startswith("_")],
+        *[c for c in exploded.columns if not c.startswith("_") and c != "record_id"],
+        record_key(
+            *[F.col(x) for x in ("record_id", "batch_id", "source_file_id") if x in df.columns],
+            F.col(page) if page else F.lit(1), F.col("_reply"), position,
+        ).alias("record_id"),
         F.when(serial > 0, serial).otherwise(position).alias("source_serial_number"),
         F.coalesce(
             parse_int_prefix(item("page_number")), F.col(page).cast("int") if page else F.lit(1)

@@ -13,7 +13,8 @@ MAY_BE_EMPTY = {
     "dup_exact_key", "dup_serial_scope", "dup_composite", "dup_members", "dup_cluster_files", "dup_age_range",
     "filter_structured", "filter_serial", "filter_house", "sorted_page", "search_id_partial", "audit_query", "unique_violations",
 }
-NEEDS_PYTHON = {"rate_limit", "rate_limit_stream", "stream_flag_repeats"}
+# The sequential limiter and state; redaction, which follows nesting to any depth in one pandas UDF.
+NEEDS_PYTHON = {"rate_limit", "rate_limit_stream", "stream_flag_repeats", "redact_json"}
 
 
 @pytest.fixture(scope="module")

@@ -98,6 +98,20 @@ def test_redaction(spark):
     assert (r.s.user, r.s.session_token, r.m, r.a[0].private) == ("u", mask, {"secret": mask, "k": "b"}, mask)
 
 
+def test_redaction_at_any_depth():
+    for depth in (1, 7, 8, 20, 200):
+        deep = '{"a": {"to\\u006ben" : ' + "[" * depth + '"p8", {"k": "}"}' + "]" * depth + ', "b": 1}}'
+        assert json.loads(audit.redact_text(deep)) == {"a": {"token": "[REDACTED_SECRET]", "b": 1}}
+    assert audit.redact_text('{"token": "x') == '"[REDACTED_SECRET]"' and audit.redact_text(None) is None
+
+
+def test_repeats_across_files_with_equal_positions(spark):
+    rows = [(f"r{f}{i}", f, i, "B1", f"ID{i}") for f in ("f1", "f2") for i in (1, 2)]
+    df = spark.createDataFrame(rows, "record_id string, source_file_id string, ingest_seq long, batch_id string, id_code string")
+    out = quality.flag_repeats(df, ["batch_id", "id_code"], "again").where("again").collect()
+    assert sorted(r.record_id for r in out) == ["rf21", "rf22"]
+
+
 def test_redaction_of_long_text(spark):
     long = json.dumps({"note": "x" * 200_000 + '"', "token": ["y" * 100_000] * 3})
     out = spark.createDataFrame([(long,)], "j string").select(audit.redact_json(F.col("j")).alias("o")).first().o

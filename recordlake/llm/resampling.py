@@ -24,23 +24,23 @@ from .common import cut_lineage, fresh, id_and_text
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 LARGE = 1e300
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_DIGIT = re.compile(rb"[0-9]")
 _known: dict[bytes, int] = {}
 
 
 def _token(word: bytes) -> int:
-    """Hash of the lower-cased word, its last 16 bits the shape: 1 lower, 2 capitalised, 3 upper, 4 with digits, from 5 signs by their hash."""
+    """Hash of the word with A-Z lower-cased, its last 16 bits the shape: 1 lower, 2 capitalised, 3 upper, 4 with digits, from 5 signs by their hash."""
     if len(_known) > 250_000:
         _known.clear()
-    text = word.decode("utf-8", "replace")
-    if not (word[:1].isalnum() or word[0] >= 128):
+    if word[0] < 128 and not word[:1].isalnum():
         shape = 5 + xxhash.xxh3_64_intdigest(word) % 1000
-    elif any(x.isdigit() for x in text):
+    elif _DIGIT.search(word):
         shape = 4
-    elif text.isupper() and len(text) > 1:
-        shape = 3
+    elif word[:1].isupper():
+        shape = 3 if len(word) > 1 and word.isupper() else 2
     else:
-        shape = 2 if text[:1].isupper() else 1
-    out = _known[word] = xxhash.xxh3_64_intdigest(text.lower()) >> 16 << 16 | shape
+        shape = 1
+    out = _known[word] = xxhash.xxh3_64_intdigest(word.lower()) >> 16 << 16 | shape
     return out
 
 
@@ -73,7 +73,7 @@ def n_buckets(bits: int) -> int:
 class Ratios:
     """Log ratios of the wanted model to each raw one, and the log weights from which documents count as wanted.
 
-    ``pairs``: (log ratio per bucket, cut, whether each bucket counts once per document).
+    ``pairs``: (log ratio per bucket, cut, whether only words count, each once per document).
     """
 
     bits: int
@@ -81,7 +81,8 @@ class Ratios:
 
     def weights(self, text: str | None) -> list[float]:
         f = features(text, self.bits)
-        return [float(r[np.unique(f) if once else f].sum()) for r, _, once in self.pairs]
+        words = f[f < 1 << self.bits]
+        return [float(r[np.unique(words)].sum() if once else r[f].sum()) for r, _, once in self.pairs]
 
     def weight(self, text: str | None) -> float:
         """The least log weight over the raw models, each counted from its cut."""

@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 
-import numpy as np
-
 #: White space, or what some library version may take for it, besides blank and line feed; or a special token.
 _WHOLE = re.compile("[^\\S \\n]|[\u180e\u200b\ufeff]|<\\|")
 #: Letters of one byte block with their marks composed, then plain marks: the library makes one word of each part.
@@ -28,8 +27,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def _pack(ids) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder(dict):
@@ -38,7 +37,7 @@ class Encoder(dict):
     At most ``keep`` pieces are kept; when full, it starts anew.
     """
 
-    def __init__(self, definition: str, keep: int = 400_000):
+    def __init__(self, definition: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -53,7 +52,8 @@ class Encoder(dict):
             self.kind = "words"
 
     def _letters(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))]
+        plain = word if word.isascii() and word[0] != " " else "".join(map(self.letters.__getitem__, word.encode()))
+        return [t.id for t in self.model.tokenize(plain)]
 
     def __missing__(self, piece: str) -> bytes:
         simple = _SIMPLE.fullmatch(piece)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import card_patterns as P
-from ..functions import fixed
+from ..functions import fixed, labels
 from ..functions.text import (
     normalize_devanagari,
     normalize_house,
@@ -29,18 +29,34 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 # ----------------------------------------------------------- header fields
 def page_facts(pages: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
-    """Per page, in one scan: header fields found on it, its section heading, whether it holds cards."""
-    patterns = patterns or P.HEADER_FIELDS
+    """Per page, in one scan: header fields found on it, its section heading, whether it holds cards.
+
+    With ``patterns`` the fields are the first groups of these patterns in
+    place of the labelled values of a register page.
+    """
     text = F.col("page_text")
+    if patterns is not None:
+        fields = {n: first_match(text, p) for n, p in patterns.items()}
+    else:
+        pages = pages.withColumn("_entries", labels.entries(text, P.HEADER_LABELS))
+        fields = {n: header_value(F.col("_entries"), n) for n in P.HEADER_FIELDS}
     return pages.select(
         "file_id",
         "page_no",
-        *[first_match(text, p).alias(n) for n, p in patterns.items()],
+        *[value.alias(n) for n, value in fields.items()],
         section_of_page(text).alias("section_found"),
         has_cards(F.col("page_no"), text).alias("has_cards"),
     )
 
 
+def header_value(found: Column, field: str) -> Column:
+    """First usable value of a header field: a number where one is wanted, else any text."""
+    if field in P.NUMBER_FIELDS:
+        value = labels.first_entry(found, field, when=lambda v: v.rlike("^[0-9]"))["value"]
+        return F.regexp_extract(value, "^[0-9]+", 0)
+    return labels.first_entry(found, field, when=lambda v: v != "")["value"]
+
+
 def header_fields(facts: DataFrame, fields: Sequence[str] = tuple(P.HEADER_FIELDS)) -> DataFrame:
     """Per file, the first match of every header field in page order, and its page count."""
     firsts = [
@@ -55,63 +71,86 @@ def merge_metadata(batch: Column, extracted: Column) -> Column:
 
 
 # ----------------------------------------------------------------- blocks
-def label_chunks(text: Column) -> Column:
-    """Page text cut in front of every name label that starts a line."""
-    return F.filter(F.split(text, P.NAME_LABEL_AHEAD), _long_enough)
+def text_lines(text: Column) -> Column:
+    """Trimmed, non-blank lines."""
+    return F.filter(F.transform(F.split(text, r"\r?\n"), trim_ws), lambda x: x != "")
 
 
-def _long_enough(chunk: Column) -> Column:
-    return F.length(trim_ws(chunk)) >= P.MIN_CARD_CHARS
+def _is_serial(word: Column) -> Column:
+    return word.rlike("^[0-9]{1,4}$")
 
 
-def text_lines(text: Column) -> Column:
-    """Trimmed, non-blank lines."""
-    return F.filter(F.transform(F.split(text, r"\r?\n"), trim_ws), lambda x: x != "")
+def _is_code(word: Column) -> Column:
+    return word.rlike("(?i)^[A-Z0-9/_-]{6}")
 
 
-def block_starts(lines: Column) -> Column:
-    """0-based line numbers at which a new block starts.
+def line_kinds(lines: Column) -> Column:
+    """What every line can mean for the borders of cards.
 
-    A serial + code line always starts one; a name line does when the block so
-    far already holds data. The scan stays inside the row, so page text is
-    never shuffled.
+    ``opens``: serial number and code; ``names``: starts with a name label;
+    ``data``: shows that a card holds data; ``card``: marks a block as a card;
+    ``chunk``: starts with a plain name label.
     """
-    state = "struct<n:int,has_data:boolean,starts:array<int>>"
-    start = F.struct(
-        F.lit(0).alias("n"), F.lit(False).alias("has_data"), F.array().cast("array<int>").alias("starts")
-    ).cast(state)
-
-    def step(s: Column, line: Column) -> Column:
-        borders = (s["n"] > 0) & (
-            line.rlike(P.SERIAL_CODE_LINE)
-            | (line.rlike(P.NAME_LINE) & ~line.contains("अनुभाग") & s["has_data"])
-        )
-        data = line.rlike(P.DATA_LINE)
+    every = [x for words in P.CARD_LABELS.values() for x in words]
+
+    def kind(line: Column) -> Column:
+        words = F.split(line, r"\s+", 3)
+        opens = _is_serial(F.get(words, 0)) & F.coalesce(_is_code(F.get(words, 1)), F.lit(False))
+        found = labels.labels_with_colon(line, every)
+        plain = labels.starts_with_label(line, [P.PLAIN_NAME])
         return F.struct(
-            (s["n"] + 1).alias("n"),
-            F.when(borders, data).otherwise(s["has_data"] | data).alias("has_data"),
-            F.when(borders | (s["n"] == 0), F.array_append(s["starts"], s["n"]))
-            .otherwise(s["starts"])
-            .alias("starts"),
-        ).cast(state)
+            opens.alias("opens"),
+            (labels.starts_with_label(line, P.NAME_HEADS) & ~line.contains(P.NOT_A_NAME_LINE)).alias("names"),
+            (plain | labels.overlaps(found, P.DATA_LABELS)).alias("data"),
+            (opens | plain | labels.overlaps(found, P.BLOCK_LABELS)).alias("card"),
+            labels.starts_with_label(line, P.CHUNK_HEADS).alias("chunk"),
+        )
+
+    return F.transform(lines, kind)
+
 
-    return F.aggregate(lines, start, step)["starts"]
+def _positions(kinds: Column) -> Column:
+    return F.transform(kinds, lambda k, i: F.struct(i.alias("at"), k.alias("kind")))
 
 
-def line_blocks(lines: Column, starts: Column) -> Column:
-    """Blocks of lines (joined by line ends) that look like a card."""
+def block_starts(notable: Column) -> Column:
+    """0-based line numbers at which a new block starts, from the ``notable_lines``.
+
+    A serial + code line always starts one; a name line does when the notable
+    line before it is one with data. The page text stays in its row.
+    """
+
+    def starts(x: Column, i: Column) -> Column:
+        after_data = (i > 0) & F.coalesce(F.get(notable, i - 1)["kind"]["data"], F.lit(False))
+        return (x["at"] > 0) & (x["kind"]["opens"] | (x["kind"]["names"] & after_data))
+
+    return F.concat(F.array(F.lit(0)), F.transform(F.filter(notable, starts), lambda x: x["at"]))
+
+
+def notable_lines(kinds: Column) -> Column:
+    """Lines that matter for borders, with their numbers."""
+    return F.filter(_positions(kinds), lambda x: x["kind"]["opens"] | x["kind"]["names"] | x["kind"]["data"])
+
+
+def chunk_starts(kinds: Column) -> Column:
+    """0-based line numbers at which the cut in front of plain name labels starts a chunk."""
+    heads = F.filter(_positions(kinds), lambda x: x["kind"]["chunk"] & (x["at"] > 0))
+    return F.concat(F.array(F.lit(0)), F.transform(heads, lambda x: x["at"]))
+
+
+def blocks_at(lines: Column, starts: Column, keep=None) -> Column:
+    """Lines from every start up to the next, joined by line ends; short ones and those not to keep go.
+
+    ``keep`` takes the block's first line number (from 0) and its number of lines.
+    """
     size = F.size(lines)
 
     def block(begin: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(starts, i + 1), size)
-        return F.slice(lines, begin + 1, end - begin)
+        n = F.coalesce(F.get(starts, i + 1), size) - begin
+        text = F.array_join(F.slice(lines, begin + 1, n), "\n")
+        return text if keep is None else F.when(keep(begin, n), text)
 
-    def is_card(block_lines: Column) -> Column:
-        return F.exists(block_lines, lambda x: x.rlike(P.SERIAL_CODE_LINE) | x.rlike(P.CARD_LINE))
-
-    blocks = F.filter(F.transform(starts, block), is_card)
-    joined = F.transform(blocks, lambda b: F.array_join(b, "\n"))
-    return F.filter(joined, _long_enough)
+    return F.filter(F.transform(starts, block), lambda x: F.length(x) >= P.MIN_CARD_CHARS)
 
 
 def card_texts(pages: DataFrame) -> DataFrame:
@@ -120,98 +159,134 @@ def card_texts(pages: DataFrame) -> DataFrame:
     Per page the line borders are used when they give at least as many blocks
     as the label split, else the label split is.
     """
-    cut = pages.withColumn("_lines", text_lines(F.col("page_text")))
-    cut = cut.withColumn("_starts", block_starts(F.col("_lines")))
-    cut = cut.withColumn("_by_line", line_blocks(F.col("_lines"), F.col("_starts")))
-    cut = cut.withColumn("_by_label", label_chunks(F.col("page_text")))
-    best = F.when(F.size("_by_line") >= F.size("_by_label"), F.col("_by_line")).otherwise(F.col("_by_label"))
+    c = F.col
+    cut = pages.withColumn("_lines", text_lines(c("page_text")))
+    cut = cut.withColumn("_kinds", line_kinds(c("_lines")))
+    cut = cut.withColumn("_notable", notable_lines(c("_kinds")))
+    cut = cut.withColumns({"_starts": block_starts(c("_notable")), "_chunks": chunk_starts(c("_kinds"))})
+
+    def holds_card(begin: Column, n: Column) -> Column:
+        return F.exists(F.slice(c("_kinds"), begin + 1, n), lambda k: k["card"])
+
+    cut = cut.withColumns(
+        {
+            "_by_line": blocks_at(c("_lines"), c("_starts"), holds_card),
+            "_by_label": blocks_at(c("_lines"), c("_chunks")),
+        }
+    )
+    best = F.when(F.size("_by_line") >= F.size("_by_label"), c("_by_line")).otherwise(c("_by_label"))
     return cut.select(*pages.columns, F.posexplode(best).alias("card_no", "card_text"))
 
 
 # ------------------------------------------------------------- card fields
-def _age(text: Column) -> Column:
-    digits = F.translate(F.regexp_extract(text, "(?i)" + P.AGE_LABEL, 1), fixed.DEVANAGARI_DIGITS, fixed.ASCII_DIGITS)
+_AGE_DIGITS = "^[0-9०-९]{1,3}"
+
+
+def _age(value: Column) -> Column:
+    digits = F.translate(F.regexp_extract(value, _AGE_DIGITS, 0), fixed.DEVANAGARI_DIGITS, fixed.ASCII_DIGITS)
     age = digits.try_cast("int")
     return F.when(age.between(1, 125), age)
 
 
-def _gender(text: Column) -> Column:
-    return F.when(text.rlike(P.MALE), "MALE").when(text.rlike(P.FEMALE), "FEMALE").otherwise("UNKNOWN")
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{M}]+")
+
+
+def _gender(words: Column, labelled: Column) -> Column:
+    """Code of a gender word; ``labelled`` is the value behind the gender label, where single letters count too."""
+
+    def among(options: list[str]) -> Column:
+        return F.arrays_overlap(words, F.array(*[F.lit(x) for x in options]))
+
+    letter = F.coalesce(F.get(_words(labelled), 0), F.lit(""))
+    male, female = among(P.MALE_WORDS) | (letter == P.MALE_LETTER), among(P.FEMALE_WORDS) | (letter == P.FEMALE_LETTER)
+    return F.when(male, "MALE").when(female, "FEMALE").otherwise("UNKNOWN")
+
+
+def _serial_mark(lines: Column) -> Column:
+    """(deletion letter found, serial number) of a card.
+
+    It stands at the top, alone or before a code or the photo mark; else at
+    the bottom below the photo mark; else the first line ending in a number has it.
+    """
+    none = F.lit(None).cast("struct<letter:boolean,number:int>")
+
+    def mark(letter: Column, number: Column) -> Column:
+        return F.struct(letter.alias("letter"), number.try_cast("int").alias("number"))
 
+    words = F.split(F.get(lines, 0), r"\s+")
+    letter = F.upper(F.get(words, 0)) == P.DELETED_LETTER
+    at = F.when(letter, 1).otherwise(0)
+    number, behind = F.get(words, at), F.get(words, at + 1)
+    fits = behind.isNull() | _is_code(behind) | F.lower(behind).startswith("photo")
+    top = F.when(_is_serial(number) & fits, mark(letter, number)).otherwise(none)
 
-def _first_code(text: Column, rules: list[tuple[str, str]]) -> Column:
-    out = None
-    for code, pattern in rules:
-        out = F.when(text.rlike(pattern), code) if out is None else out.when(text.rlike(pattern), code)
-    return out.otherwise("OTHER")
+    ends = r"(?i)(?<![A-Za-z0-9_])(O\s+)?([0-9]{1,4})$"
+
+    def end_mark(line: Column) -> Column:
+        return mark(F.regexp_extract(line, ends, 1) != "", F.regexp_extract(line, ends, 2))
+
+    last, before = F.get(lines, F.size(lines) - 1), F.get(lines, F.size(lines) - 2)
+    below_photo = F.lower(before).endswith("available") & last.rlike("(?i)^" + ends)
+    ending = F.get(F.filter(lines, lambda x: x.rlike(ends)), 0)
+    return F.coalesce(
+        top, F.when(below_photo, end_mark(last)).otherwise(none), F.when(ending.isNotNull(), end_mark(ending)).otherwise(none)
+    )
 
 
 def parse_cards(cards: DataFrame) -> DataFrame:
     """Fields of every card text; texts that are no card are dropped.
 
     Adds serial, id code, names, relation, house, age, gender and the deletion
-    mark. Both the inline layout ("label: value") and the stacked one (labels
-    first, values below the age line) are read.
+    mark. A card is cut once into labels with their values. Both the inline
+    layout ("label: value") and the stacked one (labels first, values below
+    the age line) are read.
     """
     c = F.col
     text = c("card_text")
+    id_code = "(?i)(?<![A-Za-z0-9_])(" + "|".join(P.ID_CODE_SHAPES) + ")(?![A-Za-z0-9_])"
     marks = cards.withColumns(
         {
             "_lines": text_lines(text),
-            "_code": blank_null(F.regexp_extract(text, P.ID_CODE, 1)),
-            "_top": text.rlike(P.TOP_SERIAL),
-            "_bottom": text.rlike(P.BOTTOM_SERIAL),
-            "_any_end": text.rlike(P.LINE_END_SERIAL),
+            "_entries": labels.entries(text, P.CARD_LABELS),
+            "_code": blank_null(F.regexp_extract(text, id_code, 1)),
         }
     )
-
-    def serial_group(group: int) -> Column:
-        return (
-            F.when(c("_top"), F.regexp_extract(text, P.TOP_SERIAL, group))
-            .when(c("_bottom"), F.regexp_extract(text, P.BOTTOM_SERIAL, group))
-            .when(c("_any_end"), F.regexp_extract(text, P.LINE_END_SERIAL, group))
-        )
-
-    age_flags = F.transform(c("_lines"), lambda x: x.rlike("(?i)^" + P.AGE_LABEL))
+    age_line = labels.any_label(P.CARD_LABELS["age"])
+    age_flags = F.transform(c("_lines"), lambda x: x.rlike(f"^{age_line}\\s*[:：-]?\\s*[0-9०-९]"))
     marks = marks.withColumns(
-        {
-            "_serial": F.nullif(serial_group(2).try_cast("int"), F.lit(0)),
-            "deleted": F.coalesce(
-                (serial_group(1) != "") | (serial_group(1).isNotNull() & text.rlike(P.DELETED)), F.lit(False)
-            ),
-            "_age_at": F.array_position(age_flags, True).cast("int") - 1,
-        }
-    )
-    marks = marks.withColumn(
-        "_stacked", (c("_age_at") >= 3) & (F.size("_lines") > c("_age_at") + 2)
+        {"_serial": _serial_mark(c("_lines")), "_age_at": F.array_position(age_flags, True).cast("int") - 1}
     )
+    stacked = (c("_age_at") >= 3) & (F.size("_lines") > c("_age_at") + 2)
+    marks = marks.withColumn("_stacked", stacked)
 
     def below(n: int) -> Column:
         value = F.get(c("_lines"), c("_age_at") + n)
         furniture = value.contains("Photo") | value.contains(F.coalesce(c("_code"), F.lit("___")))
         return F.when(~furniture, value)
 
-    age_line = F.get(c("_lines"), c("_age_at"))
-    above = F.slice(c("_lines"), 1, F.greatest(c("_age_at"), F.lit(0)))
-    rel_header = F.try_element_at(F.filter(above, lambda x: x.rlike(P.REL_HEADER_LINE)), F.lit(1))
-
-    def inline(pattern: str, cut: str) -> Column:
-        return trim_ws(F.regexp_replace(F.regexp_extract(text, pattern, 1), cut, ""))
-
-    inline_rel = _first_code(text, P.RELATION_VALUES)
-    inline_rel_name = F.coalesce(
-        *[F.when(text.rlike(p), inline(p, P.AFTER_RELATION)) for _, p in P.RELATION_VALUES]
-    )
-    stacked = c("_stacked")
+    def value_of(*fields: str) -> Column:
+        return labels.first_entry(c("_entries"), *fields)["value"]
+
+    relations = F.filter(c("_entries"), lambda x: x["field"].isin(*P.RELATIONS))
+    ranked = [labels.first_entry(c("_entries"), kind) for kind in P.RELATIONS]
+    relation = F.when(c("_stacked"), F.get(relations, 0)).otherwise(F.coalesce(*ranked))
+    house_found = value_of("house")
+    inline_house = F.when(house_found == "", value_of("house_word")).otherwise(house_found)
+    aged = labels.first_entry(c("_entries"), "age", when=lambda v: v.rlike(_AGE_DIGITS))["value"]
+    scope = F.when(c("_stacked"), F.get(c("_lines"), c("_age_at"))).otherwise(text)
+    marks = marks.withColumns({"_relation": relation, "_scope": _words(scope)})
+    in_text = F.array_contains(_words(text), P.DELETED_WORD)
     raw = marks.withColumns(
         {
-            "_name": F.when(stacked, below(2)).otherwise(inline(P.NAME_VALUE, P.AFTER_NAME)),
-            "_rel": F.when(stacked, below(3)).otherwise(inline_rel_name),
-            "_house": F.when(stacked, below(1)).otherwise(inline(P.HOUSE_VALUE, P.AFTER_HOUSE)),
-            "relation_type": F.when(stacked, _first_code(F.coalesce(rel_header, F.lit("")), P.REL_HEADER_CODES))
-            .otherwise(inline_rel),
-            "age": F.when(stacked, _age(age_line)).otherwise(_age(text)),
-            "gender": F.when(stacked, _gender(age_line)).otherwise(_gender(text)),
+            "_name": F.when(c("_stacked"), below(2)).otherwise(value_of("name")),
+            "_rel": F.when(c("_stacked"), below(3)).otherwise(c("_relation")["value"]),
+            "_house": F.when(c("_stacked"), below(1)).otherwise(inline_house),
+            "relation_type": F.coalesce(c("_relation")["field"], F.lit("OTHER")),
+            "age": _age(aged),
+            "gender": _gender(c("_scope"), value_of("gender")),
+            "deleted": F.coalesce(c("_serial")["letter"] | (c("_serial").isNotNull() & in_text), F.lit(False)),
+            "_number": F.nullif(c("_serial")["number"], F.lit(0)),
         }
     )
     cleaned = raw.withColumns(
@@ -220,7 +295,7 @@ def parse_cards(cards: DataFrame) -> DataFrame:
             "name_dev": blank_null(normalize_devanagari(normalize_ocr_text(c("_name")))),
             "rel_name_dev": blank_null(normalize_devanagari(normalize_ocr_text(c("_rel")))),
             "house_number": blank_null(normalize_house(normalize_ocr_text(c("_house")))),
-            "source_serial_number": F.coalesce("_serial", F.lit(1)),
+            "source_serial_number": F.coalesce("_number", F.lit(1)),
         }
     )
     furniture = F.coalesce(
@@ -293,9 +368,16 @@ def fallback_serial(cards: DataFrame, position: str) -> DataFrame:
 # -------------------------------------------------------------------- job
 def section_of_page(text: Column) -> Column:
     """Section heading on a page, NULL when the page has none."""
-    found = first_match(text, P.SECTION_LINE)
-    wrong = found.rlike("|".join(P.NOT_A_SECTION))
-    return F.when((F.length(found) > 4) & ~wrong, F.regexp_replace(found, r"\s+", " "))
+
+    def heading(line: Column) -> Column:
+        place = F.lit(False)
+        for word in P.SECTION_WORDS:
+            place = place | line.contains(word)
+        for word in P.NOT_A_SECTION:
+            place = place & ~line.contains(word)
+        return place & (F.length(line) >= P.MIN_SECTION_CHARS) & line.rlike(r"^[\u0900-\u097F,][\u0900-\u097F\s,0-9-]*$")
+
+    return F.regexp_replace(F.get(F.filter(text_lines(text), heading), 0), r"\s+", " ")
 
 
 def has_cards(page_no: Column, text: Column) -> Column:
@@ -342,7 +424,7 @@ def cards_to_records(cards: DataFrame, batch_metadata: dict[str, str] | None = N
             "source_file_id": F.col("file_id").cast("string"),
             "source_page_number": F.col("page_no").cast("int"),
             "photo_available": F.lit(True),
-            "ingest_seq": F.col("page_no").cast("bigint") * 100_000 + F.col("card_no"),
+            "ingest_seq": F.shiftleft(F.col("page_no").cast("bigint"), 32) + F.col("card_no"),
             "raw": F.to_json(F.struct("card_text", F.col("page_no").alias("page"), "deleted")),
         }
     )

@@ -47,9 +47,10 @@ def test_stacked_card_and_rejects(spark):
 
 def test_line_borders_need_data_before_a_name_line(spark):
     text = "नाम: अ\nनाम: ब\nउम्र: 20\nनाम: क\nउम्र: 30\n12 ABCDEFG\nनाम: ड"
-    df = spark.createDataFrame([(text,)], "t string").select(cards.text_lines(F.col("t")).alias("l"))
+    df = spark.createDataFrame([(text,)], "t string").select(cards.line_kinds(cards.text_lines(F.col("t"))).alias("k"))
+    df = df.select(cards.notable_lines(F.col("k")).alias("n"))
     # The first name line is data itself ("name:" starts a line), so the next ones border until a code line starts afresh.
-    assert df.select(cards.block_starts(F.col("l")).alias("s")).first().s == [0, 1, 3, 5]
+    assert df.select(cards.block_starts(F.col("n")).alias("s")).first().s == [0, 1, 3, 5]
 
 
 def test_fallback_serial(spark):
@@ -61,3 +62,33 @@ def test_cover_pages_are_skipped(spark):
     card = INLINE.format(n=2, name="रमेश", rel="पिता का नाम", age="40", sex="पुरुष")
     kept = cards.card_pages(pages(spark, ["cover", "map " + card, "late"])).select("page_no").collect()
     assert sorted(r.page_no for r in kept) == [2, 3]
+
+
+def test_header_values_end_at_the_next_label_or_line(spark):
+    text = (
+        "नगरपालिका: अबक विधानसभा क्षेत्र 12 गहइ भाग संख्या: ७, भाग नं. 9\nSection: 3 पथ मतदान केन्द्र - शाला (पूर्व)\nWard No. : 4b\n"
+    )
+    r = cards.header_fields(cards.page_facts(pages(spark, [text]))).first()
+    assert (r.municipality, r.constituency, r.part, r.area, r.polling_place, r.ward) == (
+        "अबक", "12 गहइ", "9", "3 पथ", "शाला (पूर्व)", "4",
+    )
+
+
+def test_names_that_hold_a_label_and_letters_behind_the_gender_label(spark):
+    texts = [
+        "O 7 ABC1234567\nनाम: नामदेव पिता का नाम रामपति\nमकान संख्या: मकान 12\nआयु: 44 लिंग: म",
+        "नाम: आयुष\nपति का नाम: सर\nउम्र: 30\nPhoto is Available\n15",
+        "नाम: रमा\nमाता का नाम:\nमकान नं. 4\nAge 200\nF",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, card_text string")
+    got = {r.i: r for r in cards.parse_cards(df).collect()}
+    assert (got[0].name_dev, got[0].rel_name_dev, got[0].relation_type) == ("नामदेव", "रामपति", "FATHER")
+    assert got[0].deleted and got[0].source_serial_number == 7 and got[0].gender == "FEMALE" and got[0].house_number == "12"
+    assert (got[1].name_dev, got[1].source_serial_number, got[1].age, got[1].deleted) == ("आयुष", 15, 30, False)
+    assert (got[2].relation_type, got[2].rel_name_dev, got[2].house_number, got[2].age) == ("MOTHER", None, "4", None)
+
+
+def test_empty_and_missing_texts_hold_no_card(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "\n \n")], "i int, card_text string")
+    assert cards.parse_cards(df).count() == 0
+    assert cards.card_texts(df.withColumnRenamed("card_text", "page_text")).count() == 0

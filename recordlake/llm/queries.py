@@ -37,7 +37,7 @@ def op1_pack_sum_of_squares(spark, sf_dir):
 def op2_importance_resampling(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = resampling.fit(docs, resampling.judgements(table(spark, sf_dir, "labels")))
-    out, how = resampling.resample(docs, model)
+    out, how = resampling.resample(docs, model, carry=["doc_id"])
     return out.select("doc_id", c(how["weight"]).alias("log_weight"), c(how["noisy"]).alias("noisy_weight"), c(how["selected"]).alias("kept"))
 
 

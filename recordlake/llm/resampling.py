@@ -199,25 +199,29 @@ def gumbel(*of: Column | str, seed: int = 0) -> Column:
     return -F.log(-F.log(u))
 
 
-def weighted(docs: DataFrame, model: Ratios, id_col: str, text_col: str, seed: int, temperature: float) -> tuple[DataFrame, str, str]:
-    """``docs`` with two more columns, whose names come back: log weight, and log weight plus noise."""
+def weighted(
+    docs: DataFrame, model: Ratios, id_col: str, text_col: str, seed: int, temperature: float, carry: list[str] | None = None
+) -> tuple[DataFrame, str, str]:
+    """The ``carry`` columns of ``docs`` with two more, whose names come back: log weight, and log weight plus noise."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    weight, noisy = fresh(docs, "log_weight", "noisy_weight")
-    schema = T.StructType([*docs.schema.fields, T.StructField(weight, T.DoubleType())])
-    arrow, at = to_arrow_schema(schema), docs.columns.index(text_col)
+    carry = docs.columns if carry is None else carry
+    weight, noisy, text = fresh(docs, "log_weight", "noisy_weight", "scored_text")
+    noise = gumbel(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed=seed) * temperature
+    given = docs.select(*(F.col(f"`{n}`") for n in carry), noise.alias(noisy), F.col(f"`{text_col}`").cast("string").alias(text))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField(weight, T.DoubleType())])
+    arrow = to_arrow_schema(schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
         for b in batches:
-            w = pa.array([shared.value.weight(t) for t in b.column(at).to_pylist()], pa.float64())
+            w = pa.array([shared.value.weight(t) for t in b.columns[-1].to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) for c, f in zip([*b.columns, w], arrow, strict=True)], schema=arrow
+                [c.cast(f.type) for c, f in zip([*b.columns[:-1], w], arrow, strict=True)], schema=arrow
             )
 
-    out = docs.mapInArrow(scored, schema)
-    noise = gumbel(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed=seed) * temperature
-    return out.withColumn(noisy, F.col(weight) + noise), weight, noisy
+    out = given.mapInArrow(scored, schema)
+    return out.select(*(F.col(f"`{n}`") for n in [*carry, weight]), (F.col(weight) + F.col(noisy)).alias(noisy)), weight, noisy
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int = 10_000) -> float:
@@ -244,7 +248,7 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int =
 
 def resample(
     docs: DataFrame, model: Ratios, k: int | None = None, seed: int = 0, temperature: float = 0.1,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
 ) -> tuple[DataFrame, dict]:
     """(``docs`` with log_weight, noisy_weight and selected; how it was drawn).
 
@@ -253,10 +257,12 @@ def resample(
     ``temperature`` (the factor of the noise) keeps the draw close to the best k. The noise is a
     function of id, text and seed, so a repeated row draws the same number, and all
     rows tied at the limit are selected. Empty and null texts have no features. k of 0
-    selects nothing.
+    selects nothing. Each text is scored once: the scored rows, with the columns of
+    ``docs`` named in ``carry`` (default: all), are written before the limit is sought.
     """
-    every, weight, noisy = weighted(docs, model, id_col, text_col, seed, temperature)
-    narrow = cut_lineage(every.select(F.col(weight).alias("w"), F.col(noisy).alias("g")), "weights")
+    every, weight, noisy = weighted(docs, model, id_col, text_col, seed, temperature, carry)
+    every = cut_lineage(every, "weights")
+    narrow = every.select(F.col(weight).alias("w"), F.col(noisy).alias("g"))
     n, above = narrow.agg(F.count("*"), F.coalesce(F.sum((F.col("w") >= 0).cast("long")), F.lit(0))).first()
     k = min(above if k is None else k, n)
     limit = kth_largest(narrow, "g", k) if k else None

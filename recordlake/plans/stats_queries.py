@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import quality, stats
+from .quality_queries import CHECKED_SQL, checked
 from .registry import query
 from .views import r_sql, register, table
 
@@ -58,13 +59,7 @@ def share_of_total(spark, sf_dir):
 
 @query(
     "error_breakdown",
-    r_sql(
-        """SELECT batch_id, 'MISSING_EPIC_ID' AS error_code, count(*) AS n FROM r
-        WHERE name_lat IS NOT NULL AND id_code IS NULL GROUP BY batch_id"""
-    ),
+    r_sql(CHECKED_SQL + "SELECT batch_id, error_code, count(*) AS n FROM e GROUP BY batch_id, error_code"),
 )
 def error_breakdown(spark, sf_dir):
-    from ..operators import quality
-
-    errors = quality.batch_errors(quality.check_batch(register(spark, sf_dir)))
-    return stats.error_breakdown(errors).where(c("error_code") == "MISSING_EPIC_ID")
+    return stats.error_breakdown(quality.batch_errors(checked(spark, sf_dir)))

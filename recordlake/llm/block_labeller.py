@@ -361,10 +361,15 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
     templates teach what such parts look like elsewhere. Without usable pages the
     network learns from made-up parts around no text, and labels by their names.
     """
-    rows = (
-        pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{html_col}`").alias("html")).where("html IS NOT NULL AND page_id IS NOT NULL")
-        .orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
-    )
+    given = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{html_col}`").alias("html"))
+    given = given.where("html IS NOT NULL AND page_id IS NOT NULL").withColumn("place", F.xxhash64("page_id"))
+    # The last place is sought on narrow rows, so that tasks send html of sampled pages only.
+    first = given.select("place", "page_id").orderBy("place", "page_id").limit(sample)
+    last = first.agg(F.max(F.struct("place", "page_id")).alias("last")).first().last
+    rows = []
+    if last is not None:
+        upto = (F.col("place") < last.place) | ((F.col("place") == last.place) & (F.col("page_id") <= F.lit(last.page_id)))
+        rows = given.where(upto).orderBy("place", "page_id", F.xxhash64("html")).limit(sample).collect()
     r, examples, pool = np.random.default_rng(seed), [], []
     for row in rows:
         blocks = blocks_of(row.html)

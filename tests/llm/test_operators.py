@@ -327,6 +327,9 @@ def test_resampling(spark, docs, empty, sf_dir):
     lost = [r[2] for r in rows if r[0] == 0]
     assert sum(kept) / len(kept) > 0.98 and sum(lost) / len(lost) < 0.1
     assert out.where(how["selected"]).count() == how["k"]
+    narrow, same = R.resample(texts, model, carry=["doc_id"])
+    assert narrow.columns == ["doc_id", "log_weight", "noisy_weight", "selected"] and same == how
+    assert narrow.where("selected").exceptAll(out.where("selected").select(*narrow.columns)).count() == 0
     few, how = R.resample(texts, model, k=37, temperature=1.0)
     assert few.where(how["selected"]).count() == 37
     none = R.fit(docs, R.judgements(labels.limit(0)))

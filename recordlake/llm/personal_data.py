@@ -82,10 +82,10 @@ _CONTEXT = {
 _AGAINST = frozenset("version section figure table chapter page isbn sha commit hash checksum example".split())
 
 _SECRET = re.compile(
-    r"(?i:(?:password|passwd|passwort|contraseña|token|secret|api[_-]?key|access_key|credential)s?)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,200})"
+    r"(?i:(?:password|passwd|passwort|contraseña|token|secret|api[_-]?key|access_key|credential)s?)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})"
 )
-_KEY = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp_|gho_|github_pat_|sk-|sk_live_|xoxb-|xoxp-|AIza|glpat-)[0-9A-Za-z_-]{16,200}")
-_PERSON = re.compile(r"\b(?:%s)\.? ([A-ZÀ-Ö][\wÀ-ÿ'-]{1,30}(?: [A-ZÀ-Ö][\wÀ-ÿ'-]{1,30})?)" % "|".join(_TITLES))
+_KEY = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp_|gho_|github_pat_|sk-|sk_live_|xoxb-|xoxp-|AIza|glpat-)[0-9A-Za-z_-]{16,}")
+_PERSON = re.compile(r"\b(?:%s)\.? ([A-ZÀ-Ö][\wÀ-ÿ'-]+(?: [A-ZÀ-Ö][\wÀ-ÿ'-]+)*)" % "|".join(_TITLES))
 _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b")
 _WORD = re.compile(r"\w+")
 _DIGIT = re.compile("[0-9]")
@@ -133,7 +133,7 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
         check = -1 if len(set(span)) <= 2 else 0
     elif kind == "person":
         names = span.split()
-        pattern = 1 if len(names) == 2 else 0
+        pattern = 1 if len(names) >= 2 else 0
         gazetteer = 1 if names[0] in _GIVEN else 0
         shape = 1 if all(n[1:].islower() for n in names) else -1
         check = -1 if any(_DIGIT.search(n) for n in names) else 0
@@ -246,12 +246,12 @@ def spans_of(text: str | None, model: Model, at_least: float = 0.5) -> tuple[lis
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """The text with every span replaced by its kind in angle brackets; of overlapping spans the first counts."""
+    """The text with every span replaced by its kind in angle brackets; overlapping spans are covered whole under the kind of the first."""
     out, end = [], 0
     for s, e, kind in spans:
         if s >= end:
             out += [text[end:s], f"<{kind}>"]
-            end = e
+        end = max(end, e)
     return "".join([*out, text[end:]])
 
 

@@ -237,6 +237,19 @@ def test_personal_data(spark, docs, empty):
     assert S.find(docs, S.fit(docs)).count() == docs.count() and S.find(empty, S.fit(empty)).count() == 0
 
 
+def test_personal_data_covers_long_secrets(spark):
+    r = random.Random(4)
+    long = ["".join(r.choices("abcdefABCDEF0123456789", k=1000)) for _ in range(40)]
+    texts = [f"the token={x} is old" for x in long[:20]] + [f"use sk-{x} now" for x in long[20:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in S.find(df, S.fit(df), with_text=True).collect()}
+    assert all((got[i].spans, got[i].masked) == ("secret:10:1010", "the token=<secret> is old") for i in range(20))
+    assert all((got[i].spans, got[i].masked) == ("secret:4:1007", "use <secret> now") for i in range(20, 40))
+    name = "A" + "b" * 40
+    assert list(S.candidates(f"Mr. {name} {name} {name}")) == [(4, 4 + 41 * 3 + 2, "person")]
+    assert S.masked("x a@b.de/key y", [(2, 8, "email"), (2, 12, "secret")]) == "x <email> y"
+
+
 def test_automaton_against_brute_force():
     r = random.Random(5)
     for _ in range(600):

@@ -2,7 +2,8 @@
 
 The spans of four fixed patterns are found exactly and always stay. For further
 candidates (keys and passwords, names, account and identity numbers) pattern,
-gazetteer, context, shape and checksum labelers vote yes, no or nothing. The votes of all
+gazetteer, context, shape and checksum labelers vote yes, no or nothing; the pattern,
+gazetteer and context labelers also propose the candidates, each its own. The votes of all
 documents are counted by pattern of votes; expectation-maximisation on those counts
 gives every labeler's reliability and every pattern's probability. A logistic
 classifier of span and context features, trained on these probabilities, then judges each candidate.
@@ -67,7 +68,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # The gazetteers.
 _KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "sk_live_", "xoxb-", "xoxp-", "AIza", "glpat-", "eyJ")
-_KEY_WORDS = ("password", "passwd", "passwort", "contraseña", "token", "secret", "api_key", "apikey", "api-key", "access_key", "credential")
+_KEY_WORDS = ("password", "passwd", "passwort", "contraseña", "token", "secret", "api_key", "apikey", "api-key", "api key", "access_key", "private_key", "credential")
+_NUMBER_WORDS = ("ssn", "social security", "iban", "account", "konto", "compte", "cuenta", "passport")
 _TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 _GIVEN = frozenset(
     "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas "
@@ -81,29 +83,77 @@ _CONTEXT = {
 }
 _AGAINST = frozenset("version section figure table chapter page isbn sha commit hash checksum example".split())
 
+# Months, days and words that start sentences: no names, and a name ends before them.
+_NOT_NAMES = frozenset(
+    "January February March April May June July August September October November December Monday Tuesday Wednesday Thursday "
+    "Friday Saturday Sunday A An The This That These Those It He She We They You I In On At To Of For And But Or If As When Then There Here "
+    "Is Was Are Were Not No Yes Der Die Das Ein Eine Und Aber Wir Sie Er Es Ich Am Im Le La Les Un Une Et Mais Il Elle Nous El Los Las Una Y Pero".split()
+)
+
 _SECRET = re.compile(
-    r"(?i:(?:password|passwd|passwort|contraseña|token|secret|api[_-]?key|access_key|credential)s?)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})"
+    r"(?i:(?:password|passwd|passwort|contraseña|token|secret|api[ _-]?key|(?:access|secret|private)_key|credential)s?)"
+    r"(?:\\?[\"'])?\s{0,3}[=:]\s{0,3}"
+    r"(?:\"((?:[^\"\\\n]|\\[^\n])++)\"|'((?:[^'\\\n]|\\[^\n])++)'|\\?[\"']?((?:[^\s\"',;\\]|\\(?![\"'])){6,}))"
 )
 _KEY = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp_|gho_|github_pat_|sk-|sk_live_|xoxb-|xoxp-|AIza|glpat-)[0-9A-Za-z_-]{16,}")
-_PERSON = re.compile(r"\b(?:%s)\.? ([A-ZÀ-Ö][\wÀ-ÿ'-]+(?: [A-ZÀ-Ö][\wÀ-ÿ'-]+)*)" % "|".join(_TITLES))
+_JWT = re.compile(r"(?<![0-9A-Za-z_-])eyJ[0-9A-Za-z_-]{8,}+(?:\.[0-9A-Za-z_-]*+)+")
+_NAME = r"[A-ZÀ-ÖØ-Þ][\wÀ-ÿ'’-]*+"
+_NAMES = re.compile(rf"(?<![\w'’-]){_NAME}(?: (?:[A-Z]\. )*+(?:(?:von|van|de|del|der|den|di|da|du|la|le|bin|al) )*+{_NAME})*+")
 _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b")
+_NUMBERED = re.compile(
+    r"(?i:\b(?:ssn|social security|iban|account|konto|compte|cuenta|passport)(?: ?(?:number|nr|no)\b\.?)?)[\"']?\s{0,3}[:=#]?\s{0,3}[\"']?"
+    r"([A-Z]{0,3}[0-9][0-9A-Z-]{4,})(?![a-z])"
+)
 _WORD = re.compile(r"\w+")
 _DIGIT = re.compile("[0-9]")
+_TITLED = frozenset(_TITLES)
+_MIXED = re.compile(r"[A-Z]\.|(?:[A-ZÀ-ÖØ-Þ]['’-]?[a-zß-öø-ÿ]+['’-]?)+")
+_LOW_TITLES = frozenset(t.lower() for t in _TITLES)
+
+
+def _names(text: str) -> Iterator[tuple[int, int]]:
+    """Capitalised words behind a title or a context word, and given names with the capitalised words behind them."""
+    for run in _NAMES.finditer(text):
+        start, end = run.span()
+        last = _WORD.findall(text[max(0, start - 40) : start].rstrip(" \t\n:=.\"'(")[-20:])[-1:] if start else []
+        before = text[max(0, start - 4) : start].strip(" \t")
+        behind = bool(last) and (last[0] in _TITLED or (not before.endswith(".") and last[0].lower() in _CONTEXT["person"]))
+        # a title, a context word and a word that is no name end one name; another may begin behind them
+        parts, words = [], []
+        for w in re.finditer("[^ ]+", run[0]):
+            if w[0] in _TITLED or w[0].lower() in _CONTEXT["person"]:
+                parts.append((behind, words))
+                behind, words = True, []
+            elif w[0] in _NOT_NAMES:
+                parts.append((behind, words))
+                behind, words = False, []
+            else:
+                words.append((start + w.start(), start + w.end(), w[0]))
+        for told, found in [*parts, (behind, words)]:
+            while found and not found[-1][2][:1].isupper():
+                found.pop()
+            while found and not told and found[0][2] not in _GIVEN:
+                found.pop(0)
+            if not found or not (told or len(found) > 1) or not found[0][2][:1].isupper():
+                continue
+            tail = re.sub(r"(?:['’]s)?['’-]*$", "", found[-1][2])
+            if len(tail) > 1 or len(found) > 2:
+                yield found[0][0], found[-1][0] + len(tail)
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of spans that the labelers vote on."""
+    """(start, end, kind) of spans that some labeler proposes and all vote on."""
     seen = set()
     low = text.lower() if len(text) < 1 << 30 else text
-    found = []
+    found = [(*s, "person") for s in _names(text)]
     if any(w in low for w in _KEY_WORDS):
-        found += [(*m.span(1), "secret") for m in _SECRET.finditer(text)]
+        found += [(*m.span(m.lastindex), "secret") for m in _SECRET.finditer(text)]
     if any(w in text for w in _KEY_STARTS):
-        found += [(*m.span(), "secret") for m in _KEY.finditer(text)]
-    if any(w in text for w in _TITLES):
-        found += [(*m.span(1), "person") for m in _PERSON.finditer(text)]
+        found += [(*m.span(), "secret") for p in (_KEY, _JWT) for m in p.finditer(text)]
     if _DIGIT.search(text):
         found += [(*m.span(), "id_number") for m in _ID.finditer(text)]
+        if any(w in low for w in _NUMBER_WORDS):
+            found += [(*m.span(1), "id_number") for m in _NUMBERED.finditer(text)]
     for s in sorted(found):
         if s not in seen:
             seen.add(s)
@@ -127,16 +177,21 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
     near = {p for w in before for p in (w, *w.split("_"))}
     entropy = -sum(n / len(span) * math.log2(n / len(span)) for n in Counter(span).values())
     if kind == "secret":
-        pattern = 1 if _KEY.fullmatch(span) or re.fullmatch("[0-9a-f]{16,}", span) else -1 if span.isalpha() and span.islower() else 0
+        pattern = (
+            1 if _KEY.fullmatch(span) or _JWT.fullmatch(span) or re.fullmatch("[0-9a-f]{16,}", span)
+            else -1 if span.replace(" ", "").isalpha() and span[1:].islower() else 0
+        )
         gazetteer = 1 if span.startswith(_KEY_STARTS) else 0
         shape = 1 if entropy >= 3 and _DIGIT.search(span) else -1 if entropy < 2 else 0
         check = -1 if len(set(span)) <= 2 else 0
     elif kind == "person":
         names = span.split()
-        pattern = 1 if len(names) >= 2 else 0
+        titled = bool(before) and (before[-1] in _LOW_TITLES or text[max(0, start - 3) : start].strip(" \"'")[-1:] in (":", "="))
+        pattern = 1 if len(names) >= 2 else 0 if titled else -1
         gazetteer = 1 if names[0] in _GIVEN else 0
-        shape = 1 if all(n[1:].islower() for n in names) else -1
-        check = -1 if any(_DIGIT.search(n) for n in names) else 0
+        fine = all(n[1:].islower() or _MIXED.fullmatch(n) for n in names)
+        shape = -1 if not fine else 1 if len(names) > 1 or gazetteer else 0
+        check = -1 if any(_DIGIT.search(n) for n in names) or not (gazetteer or titled or len(names) > 1) else 0
     else:
         pattern = 1 if re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", span) and span[:3] not in ("000", "666") and span[0] != "9" else 0
         gazetteer = 1 if span[:2] in ("DE", "FR", "ES", "GB", "IT", "NL", "AT", "BE", "CH", "PT") else 0
@@ -240,7 +295,11 @@ def spans_of(text: str | None, model: Model, at_least: float = 0.5) -> tuple[lis
     if not text:
         return [], []
     base = [(s, e, BASE[k]) for s, e, k in base_spans(text)]
-    more = [c for c in candidates(text) if model.probability(text, *c) >= at_least]
+    more, end = [], dict.fromkeys(ADDED, -1)
+    for c in sorted((c for c in candidates(text) if model.probability(text, *c) >= at_least), key=lambda c: (c[0], -c[1])):
+        if c[1] > end[c[2]]:  # not inside a span of the same kind
+            more.append(c)
+            end[c[2]] = c[1]
     order = {k: i for i, k in enumerate((*BASE, *ADDED))}
     return base, sorted([*base, *more], key=lambda s: (s[0], order[s[2]], s[1]))
 

@@ -250,6 +250,28 @@ def test_personal_data_covers_long_secrets(spark):
     assert S.masked("x a@b.de/key y", [(2, 8, "email"), (2, 12, "secret")]) == "x <email> y"
 
 
+def test_personal_data_labelers_propose_spans(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    cases = {
+        "signed Anna Weber, today": "Anna Weber", "name: John Smith": "John Smith", "the author Carlos Ruiz wrote": "Carlos Ruiz",
+        "it was Laura O'Neill's idea": "Laura O'Neill", '{"author": "Sophie de Clercq"}': "Sophie de Clercq",
+        "From Emma Stone. We": "Emma Stone", "by Xaver Quade on": "Xaver Quade", "Dr. Anna Maria Weber said": "Anna Maria Weber",
+        '{"password": "h4x0r-9 Zq,1", "n": 1}': "h4x0r-9 Zq,1", "{'api_key': 'k9Qz71mmB2'}": "k9Qz71mmB2", f"Bearer {jwt} sent": jwt,
+        'a \\"token\\": \\"q1w2e3r4t5\\" b': "q1w2e3r4t5", "passport no: C01X00T47": "C01X00T47",
+    }
+    for text, want in cases.items():
+        assert [text[s:e] for s, e, _ in S.candidates(text)] == [want], text
+    for text in ("stood by The house", "The March. It Was On Monday", "by the house", "Then We left"):
+        assert list(S.candidates(text)) == []
+    plain = "came from Paris and left"
+    rows = [(i, t) for i, t in enumerate([*cases] * 10)] + [(1000 + i, plain) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.masked for x in S.find(df, S.fit(df), with_text=True).collect()}
+    for i, (text, want) in enumerate(cases.items()):
+        assert want not in got[i] and "<" in got[i], text
+    assert got[1000] == plain
+
+
 def test_automaton_against_brute_force():
     r = random.Random(5)
     for _ in range(600):

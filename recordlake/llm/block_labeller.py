@@ -83,9 +83,11 @@ def blocks_of(page: str | None) -> list[Block]:
     def path_of() -> tuple[str, ...]:
         nonlocal path
         if path is None:
+            # all near ones; of those further out all that a part of a page is named by, each name once
             near = [x for x in stack if x.tag in _BLOCK]
-            far = [x for x in near[:-16] if x.tag in _LANDMARK]
-            path = tuple(n for x in [*far, *near[-16:]] for n in (x.tag, *x.names))
+            far = [n for x in near[:-16] if x.names or x.tag in _LANDMARK for n in (x.tag, *x.names)]
+            last = {n: i for i, n in enumerate(far)}
+            path = (*(n for i, n in enumerate(far) if last[n] == i), *(n for x in near[-16:] for n in (x.tag, *x.names)))
         return path
 
     def pop_to(i: int):

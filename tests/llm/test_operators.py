@@ -166,6 +166,18 @@ def test_blocks_and_labels(spark):
     assert got[8].text == got[9].text == got[10].text == "" and B.extract(pages.limit(0), labeller).count() == 0
 
 
+def test_names_far_out_stay_on_the_path():
+    thread = "<ul><li><div>" * 10 + "<p>Tenth reply.</p>" + "</div></li></ul>" * 10
+    page = f"<body><article class=post><p>Story.</p><div class=comments>{thread}</div><p>End.</p></article></body>"
+    blocks = B.blocks_of(page)
+    assert [b.text for b in blocks] == ["Story.", "Tenth reply.", "End."]
+    assert {"article", "post", "comments"} <= set(blocks[1].path) and [B.seed_label(b.path) for b in blocks] == [1, 0, 1]
+    table = "<table><tr><td class=sidebar>" + "<table><tbody><tr><td>" * 6 + "<p>Links" + "</table>" * 7
+    assert B.seed_label(B.blocks_of(f"<main>{table}</main>")[0].path) == 0
+    deep = B.blocks_of("<div class=comments>" * 5000 + "<p>x")[0]
+    assert len(deep.path) < 60
+
+
 def test_labeller_gradients():
     model = B.Labeller(dim=3, hidden=4, seed=1)
     pages = [B.inputs([B.Block(("p", "x"), "some words here", 2), B.Block(("li",), "a"), B.Block(("p",), "b c.")]), B.inputs([B.Block(("nav",), "z")])]

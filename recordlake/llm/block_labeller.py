@@ -20,12 +20,17 @@ from pyspark.sql import types as T
 from .common import in_batches
 
 _PART = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>",
-    re.S | re.I,
+    re.S,
 )
+#: Elements without text of the page, by their end tags; of those in ``_TO_END`` an unclosed one has the rest of the page.
+_RAW = {
+    tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
+    for tag in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title")
+}
+_TO_END = frozenset(("script", "style", "textarea", "title"))
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -97,24 +102,34 @@ def blocks_of(page: str | None) -> list[Block]:
         del stack[i:]
         path = None
 
-    at = 0
-    for m in _PART.finditer(page):
+    at, unclosed = 0, set()
+    while m := _PART.search(page, at):
         if m.start() > at:
             held.append(page[at : m.start()])
             if links:
                 linked += m.start() - at
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
-            if m[1]:
-                held.append(" ")
             continue
         tag = tag.lower()
+        if tag in _RAW and not m[1]:
+            held.append(" ")
+            if tag == "svg" and m[3].endswith("/"):
+                continue
+            end = None if tag in unclosed else _RAW[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in _TO_END:
+                at = len(page)
+            else:
+                unclosed.add(tag)
+            continue
         if tag in _BLOCK:
             flush()
         elif tag == "br":
             held.append(" ")
-        if m[2]:
+        if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag == tag:
                     pop_to(i)
@@ -137,8 +152,8 @@ def blocks_of(page: str | None) -> list[Block]:
                 if stack[i].tag in ("ul", "ol", "menu", "table", "tbody", "tr", "dl", "select"):
                     break
         names = tuple(
-            w for x in _NAMES.finditer(m[4] or "") for w in re.split(r"[^a-z]+", (x[1] or x[2] or x[3] or "").lower()) if w
-        ) if m[4] and tag in _BLOCK else ()
+            w for x in _NAMES.finditer(m[3] or "") for w in re.split(r"[^a-z]+", (x[1] or x[2] or x[3] or "").lower()) if w
+        ) if m[3] and tag in _BLOCK else ()
         stack.append(_Open(tag, names))
         links += tag == "a"
         path = None

@@ -178,6 +178,19 @@ def test_names_far_out_stay_on_the_path():
     assert len(deep.path) < 60
 
 
+def test_raw_elements_end_where_they_end():
+    def texts(page):
+        return [b.text for b in B.blocks_of(page)]
+
+    for one in ("<svg-icon a=1></svg-icon>", "<title-bar></title-bar>", "<template-x>", "<svg a='1' />", "<svg/>", "<script-x/>", "<!-->", "<svg>", "<iframe src=x>", "<noscript>"):
+        assert texts(f"<p>one</p>{one}<p>two</p>") == ["one", "two"], one
+    for one in ("svg", "noscript", "template", "iframe", "script", "STYLE", "textarea", "title"):
+        assert texts(f"<p>one</p><{one} a='>'>x<p>y</{one}-z></{one} ><p>two") == ["one", "two"], one
+    for one in ("<script>", "<style a=b>", "<textarea>", "<title>", "<!-- "):
+        assert texts(f"<p>one</p>{one}<p>two</p>") == ["one"], one
+    assert texts("<svg>" * 20_000 + "<p>two") == ["two"]
+
+
 def test_labeller_gradients():
     model = B.Labeller(dim=3, hidden=4, seed=1)
     pages = [B.inputs([B.Block(("p", "x"), "some words here", 2), B.Block(("li",), "a"), B.Block(("p",), "b c.")]), B.inputs([B.Block(("nav",), "z")])]

@@ -108,6 +108,32 @@ def counts(texts: DataFrame, bits: int, once: bool = False) -> np.ndarray:
     return out
 
 
+def counts_by_fold(labelled: DataFrame, bits: int, folds: int) -> np.ndarray:
+    """(fold, which, bucket): :func:`counts` of wanted texts whole, of wanted and of good but toxic texts by documents, in one pass."""
+    schema = T._parse_datatype_string("fold int, which int, bucket int, n long")
+
+    def own(batches):
+        total = np.zeros((folds, 3, n_buckets(bits)), dtype=np.int64)
+        for b in batches:
+            for text, wanted, good, fold in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if not good:
+                    continue
+                f = features(text, bits)
+                if wanted:
+                    np.add.at(total[fold, 0], f, 1)
+                total[fold, 1 if wanted else 2, np.unique(f)] += 1
+        at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(x.astype(np.int32)) for x in at), pa.array(total[at])], names=["fold", "which", "bucket", "n"]
+        )
+
+    found = labelled.select("text", "wanted", "good", "fold").mapInArrow(own, schema)
+    found = found.groupBy("fold", "which", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((folds, 3, n_buckets(bits)), dtype=np.int64)
+    out[tuple(found.column(x).to_numpy() for x in ("fold", "which", "bucket"))] = found.column("n").to_numpy()
+    return out
+
+
 def log_ratios(target: np.ndarray, raw: np.ndarray, smooth: float, errors: float) -> np.ndarray:
     """Log ratio of the two models per bucket.
 
@@ -130,14 +156,16 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, smooth: float, errors: float
 
 def fit(
     docs: DataFrame, labels: DataFrame, bits: int = 18, smooth: float = 2.0, most_labelled: int = 20_000,
-    errors: float = 4.0, toxic_errors: float = 6.0, lost_weight: float = 20.0, id_col: str = "doc_id", text_col: str = "text",
+    errors: float = 4.0, toxic_errors: float = 3.0, lost_weight: float = 20.0, id_col: str = "doc_id", text_col: str = "text",
+    toxic_lost_weight: float = 5.0, folds: int = 4,
 ) -> Ratios:
     """Count the models and set the cuts.
 
     ``labels`` has doc_id, good and toxic (booleans) for some documents; of these, at most
-    about ``most_labelled`` (those with the smallest hashes of their ids) are used, one half
-    for the models, the other to set each cut where ``lost_weight`` times the share of
-    wanted documents lost plus the share of others kept is least. Wanted: good and not toxic. Two
+    about ``most_labelled`` (those with the smallest hashes of their ids) are used, all of
+    them in the models. Each cut is set where ``lost_weight`` (``toxic_lost_weight`` against toxic
+    ones) times the share of wanted documents lost plus the share of others kept is least, with every
+    document weighed by models of the other ``folds``. Wanted: good and not toxic. Two
     raw models stand against the wanted one: all documents, whole; and the toxic ones
     among the labelled, where a word counts once per document. See :func:`log_ratios`
     for ``smooth`` and the two numbers of errors. A model without documents, or a cut without both
@@ -149,34 +177,36 @@ def fit(
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("labelled")), 11) / float(1 << 53)
     chosen = known.where(place < F.lit(min(1.0, most_labelled / max(n, 1)))).select(
         "doc_id", (F.col("good") & ~F.col("toxic")).alias("wanted"), "good", "toxic",
-        (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0).alias("own"),
-    )
-    labelled = cut_lineage(texts.join(chosen, "doc_id").select("text", "wanted", "good", "toxic", "own"), "labelled")
-    own = labelled.where("own")
-    plain = log_ratios(counts(own.where("wanted"), bits).astype(float), counts(texts, bits).astype(float), smooth, errors)
-    toxic = log_ratios(
-        counts(own.where("wanted"), bits, True).astype(float), counts(own.where("toxic AND good"), bits, True).astype(float), smooth, toxic_errors
+        F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold"),
     )
-    toxic[1 << bits :] = 0  # words only
-    model = Ratios(bits, [(plain, 0.0, False), (toxic, 0.0, True)])
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    labelled = cut_lineage(texts.join(chosen, "doc_id").select("text", "wanted", "good", "toxic", "fold"), "labelled")
+    raw = counts(texts, bits).astype(float)
+    parts = counts_by_fold(labelled, bits, folds).astype(float)
+
+    def model_of(whole, once, toxic_once):
+        toxic = log_ratios(once, toxic_once, smooth, toxic_errors)
+        toxic[1 << bits :] = 0  # words only: word pairs are ten times as many and, measured on labels left out, catch fewer
+        return Ratios(bits, [(log_ratios(whole, raw, smooth, errors), 0.0, False), (toxic, 0.0, True)])
+
+    model = model_of(*parts.sum(0))
+    shared = labelled.sparkSession.sparkContext.broadcast([model_of(*(parts.sum(0) - parts[i])) for i in range(folds)])
 
     def scored(batches):
         for b in batches:
-            both = [shared.value.weights(t) for t in b.column(0).to_pylist()]
+            both = [shared.value[i].weights(t) for t, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array([w[i] for w in both], pa.float64()) for i in (0, 1)), *b.columns[1:]],
+                [*(pa.array([w[i] for w in both], pa.float64()) for i in (0, 1)), *b.columns[2:]],
                 names=["w0", "w1", "wanted", "good", "toxic"],
             )
 
-    held = labelled.where("NOT own").select("text", "wanted", "good", "toxic")
-    rows = held.mapInArrow(scored, "w0 double, w1 double, wanted boolean, good boolean, toxic boolean").toPandas()
-    fine = rows.wanted.to_numpy(bool)
-    cuts = []
-    for w, other in ((rows.w0, ~rows.good.to_numpy(bool)), (rows.w1, rows.toxic.to_numpy(bool))):
+    given = labelled.select("text", "fold", "wanted", "good", "toxic")
+    rows = given.mapInArrow(scored, "w0 double, w1 double, wanted boolean, good boolean, toxic boolean").toPandas()
+    fine, pairs = rows.wanted.to_numpy(bool), []
+    others = (~rows.good.to_numpy(bool), rows.toxic.to_numpy(bool))
+    for (ratios, _, once), w, other, lost in zip(model.pairs, (rows.w0, rows.w1), others, (lost_weight, toxic_lost_weight), strict=True):
         use = fine | other
-        cuts.append(best_cut(w.to_numpy(float)[use], fine[use], lost_weight))
-    return Ratios(bits, [(plain, cuts[0], False), (toxic, cuts[1], True)])
+        pairs.append((ratios, best_cut(w.to_numpy(float)[use], fine[use], lost), once))
+    return Ratios(bits, pairs)
 
 
 def best_cut(weight: np.ndarray, wanted: np.ndarray, lost_weight: float) -> float:

@@ -398,6 +398,16 @@ def test_resampling(spark, docs, empty, sf_dir):
     assert R.resample(empty, R.fit(empty, R.judgements(labels)))[0].count() == 0
 
 
+def test_resampling_rejects_toxic_documents(spark, sf_dir):
+    texts, labels = (spark.read.parquet(f"{sf_dir}/../sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    model = R.fit(texts, R.judgements(labels.where("doc_id % 5 <> 0")))
+    out, how = R.resample(texts.join(labels.where("doc_id % 5 = 0"), "doc_id"), model)
+    rows = out.where("quality = 1").select("toxic", how["selected"]).collect()
+    kept, caught = [r[1] for r in rows if r[0] == 0], [not r[1] for r in rows if r[0] == 1]
+    print(len(kept), sum(kept), len(caught), sum(caught))
+    assert len(caught) > 50 and sum(caught) / len(caught) > 0.8 and sum(kept) / len(kept) > 0.98
+
+
 def test_kth_largest(spark):
     values = [float(random.Random(7).gauss(0, 1)) for _ in range(5000)] + [0.5] * 300
     df = spark.createDataFrame([(v,) for v in values], "v double")

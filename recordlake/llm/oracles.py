@@ -83,3 +83,69 @@ SELECT dw.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM dw LEFT JOIN cov ON cov.doc_id = dw.doc_id LEFT JOIN it ON it.doc_id = dw.doc_id
 """
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8: bit by bit over the hexadecimal digits of its bytes."""
+    byte = f"('0x' || substr(hex(encode({text})), (k // 8) * 2 + 1, 2))::BIGINT"
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, generate_series(0, 8 * octet_length(encode({text})) - 1)), lambda v, k:
+    CASE WHEN (CASE WHEN k % 8 = 0 THEN xor(v, {byte}) ELSE v END) % 2 = 1
+      THEN xor((CASE WHEN k % 8 = 0 THEN xor(v, {byte}) ELSE v END) >> 1, 3988292384::BIGINT)
+      ELSE (CASE WHEN k % 8 = 0 THEN xor(v, {byte}) ELSE v END) >> 1 END), 4294967295::BIGINT)"""
+
+
+ORACLES["op12_periodic_runs"] = (
+    r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+h AS (SELECT doc_id, """
+    + _crc32("doc_id::VARCHAR")
+    + r""" AS h FROM documents),
+a AS (SELECT t.doc_id, words, len(words) AS n, h % 10 = 0 AND len(words) > 0 AS looped, h // 10 AS g FROM t JOIN h ON t.doc_id = h.doc_id),
+b AS (SELECT *, CASE WHEN looped THEN g % n ELSE n END AS a FROM a),
+w AS (SELECT doc_id, n, CASE WHEN looped THEN list_transform(generate_series(0, n - 1),
+        lambda i: words[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE words END AS words FROM b),
+p AS (SELECT doc_id, n, i, words[i + 1] AS word, hash(words[i + 1:i + 5]) AS win
+      FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM w WHERE n > 0)),
+-- every run has five words in a row that match those one period before them
+m AS (SELECT y.doc_id, y.i, y.i - x.i AS lag FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.win = y.win AND x.i < y.i
+      WHERE 4 * (y.i - x.i) <= y.n AND y.i + 5 <= y.n),
+s AS (SELECT doc_id, lag, min(i) - lag AS start, count(*) + 4 + lag AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS isle FROM m) GROUP BY doc_id, lag, isle),
+r AS (SELECT doc_id, start, length, min(lag) AS period FROM s WHERE length >= greatest(6, 4 * lag) GROUP BY ALL),
+d AS (SELECT DISTINCT doc_id, unnest(generate_series(start + period, start + length - 1)) AS i FROM r),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS text FROM p ANTI JOIN d ON p.doc_id = d.doc_id AND p.i = d.i GROUP BY p.doc_id),
+l AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+      FROM r GROUP BY doc_id),
+top AS (SELECT doc_id, start, length, period FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1)
+SELECT a.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.start::BIGINT AS start, top.length::BIGINT AS length, top.period::BIGINT AS period,
+  (1000 * top.length // top.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM a LEFT JOIN l ON l.doc_id = a.doc_id LEFT JOIN top ON top.doc_id = a.doc_id LEFT JOIN k ON k.doc_id = a.doc_id
+"""
+)
+
+ORACLES["op13_spelling_variants"] = (
+    r"""
+WITH RECURSIVE o AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS word FROM documents)
+  WHERE length(word) >= 5 GROUP BY ALL),
+h AS (SELECT word, n, """
+    + _crc32("doc_id || ':' || word")
+    + r""" AS h FROM o),
+c AS (SELECT CASE WHEN h % 97 = 0 THEN substr(word, 1, (h % length(word))::BIGINT) || substr(word, (h % length(word))::BIGINT + 2) ELSE word END AS word, n
+      FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+      FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.less = v.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.less = v.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS most FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 2 * v.n THEN most END::BIGINT AS form_n,
+        CASE WHEN most >= 2 * v.n THEN (SELECT min(other) FROM near WHERE near.word = v.word AND near.other_n = best.most) END AS form
+      FROM v LEFT JOIN best ON v.word = best.word),
+up AS (SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL),
+root AS (SELECT up.word, up.root FROM up JOIN f ON f.word = up.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN root ON root.word = f.word
+"""
+)

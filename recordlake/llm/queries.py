@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    block_labeller, decontaminate, grammar_files, host_rules, line_dedup, near_duplicates, packing, personal_data, resampling, url_rules,
+    block_labeller, decontaminate, grammar_files, host_rules, line_dedup, near_duplicates, packing, periodic_runs, personal_data, resampling, spelling_variants, url_rules,
 )
 from .common import table, work_folder
 from .oracles import ORACLES  # noqa: F401
@@ -96,3 +96,21 @@ def op9_suffix_automaton(spark, sf_dir):
 @query
 def op10_tensored_minhash(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), n=2)
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.with_loops(table(spark, sf_dir, "documents"), every=10)
+    found = periodic_runs.find(docs).withColumn("top", periodic_runs.top_run(c("runs")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(1000 * c("top.length") / c("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    found = spelling_variants.group_variants(table(spark, sf_dir, "documents"), damage=97)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")

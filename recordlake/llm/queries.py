@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    block_labeller, decontaminate, grammar_files, host_rules, line_dedup, near_duplicates, packing, periodic_runs, personal_data, resampling, spelling_variants, url_rules,
+    block_labeller, decontaminate, grammar_files, host_rules, line_dedup, near_duplicates, packing, periodic_runs, personal_data, resampling,
+    secret_automata, spelling_variants, url_rules,
 )
 from .common import table, work_folder
 from .oracles import ORACLES  # noqa: F401
@@ -98,6 +99,22 @@ def op10_tensored_minhash(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), n=2)
 
 
+@query
+def op11_secret_automata(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secret_automata.find(docs, secret_automata.fit(docs))
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *(number(k) for k in secret_automata.BASE), F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans")
+    )
+
+
 @query
 def op12_periodic_runs(spark, sf_dir):
     docs = periodic_runs.with_loops(table(spark, sf_dir, "documents"), every=10)

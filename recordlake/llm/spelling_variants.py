@@ -32,6 +32,8 @@ from .common import cut_lineage
 
 #: Words of a block at least, and blocks of each sorted list at most.
 BLOCK, MOST_BLOCKS = 6000, 4096
+#: Tasks that share the blocks at most.
+MOST_TASKS = 2000
 #: Words sampled for the places of the cuts, and characters of a cut.
 SAMPLE, CUT_LENGTH = 40_000, 64
 
@@ -249,6 +251,8 @@ def near_words(words: DataFrame, block: int = BLOCK, most_blocks: int = MOST_BLO
         return pd.DataFrame(found, columns=["word", "near", "best_n", "best"])
 
     pieces = words.select("word", "n").mapInArrow(dealt, "reverse boolean, block int, key string, n long, own boolean")
+    # a block a task: adaptive execution would join them by their size, not by their work
+    pieces = pieces.repartition(min(2 * blocks, MOST_TASKS), "reverse", "block")
     found = pieces.groupBy("reverse", "block").applyInPandas(near, "word string, near long, best_n long, best string")
     none = F.lit(None)
     every = words.select("word", "n", F.lit(0).cast("long").alias("near"), none.cast("struct<o: bigint, w: string>").alias("best")).unionByName(

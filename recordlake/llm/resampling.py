@@ -232,26 +232,22 @@ def gumbel(*of: Column | str, seed: int = 0) -> Column:
 def weighted(
     docs: DataFrame, model: Ratios, id_col: str, text_col: str, seed: int, temperature: float, carry: list[str] | None = None
 ) -> tuple[DataFrame, str, str]:
-    """The ``carry`` columns of ``docs`` with two more, whose names come back: log weight, and log weight plus noise."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+    """The ``carry`` columns of ``docs`` with two more, whose names come back: log weight, and log weight plus noise.
 
+    Only the text goes to Python, and only its weight comes back; the other columns stay where they are.
+    """
     carry = docs.columns if carry is None else carry
-    weight, noisy, text = fresh(docs, "log_weight", "noisy_weight", "scored_text")
-    noise = gumbel(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed=seed) * temperature
-    given = docs.select(*(F.col(f"`{n}`") for n in carry), noise.alias(noisy), F.col(f"`{text_col}`").cast("string").alias(text))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField(weight, T.DoubleType())])
-    arrow = to_arrow_schema(schema)
+    weight, noisy = fresh(docs, "log_weight", "noisy_weight")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(batches):
-        for b in batches:
-            w = pa.array([shared.value.weight(t) for t in b.columns[-1].to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) for c, f in zip([*b.columns[:-1], w], arrow, strict=True)], schema=arrow
-            )
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.weight(x.as_py()) for x in texts], pa.float64())
 
-    out = given.mapInArrow(scored, schema)
-    return out.select(*(F.col(f"`{n}`") for n in [*carry, weight]), (F.col(weight) + F.col(noisy)).alias(noisy)), weight, noisy
+    text = F.col(f"`{text_col}`")
+    noise = gumbel(F.col(f"`{id_col}`"), text, seed=seed) * temperature
+    out = docs.select(*(F.col(f"`{n}`") for n in carry), scored(text.cast("string")).alias(weight), noise.alias(noisy))
+    return out.withColumn(noisy, F.col(weight) + F.col(noisy)), weight, noisy
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int = 10_000) -> float:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, work_folder
 
-__all__ = ["ASCII_LOWER", "WHITE", "cut_lineage", "fresh", "id_and_text", "in_batches", "table", "text_key", "work_folder"]
+__all__ = ["ASCII_LOWER", "WHITE", "cut_lineage", "fresh", "id_and_text", "in_batches", "short_batches", "table", "text_key", "work_folder"]
 
 #: The white space of the text contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\v\f\r"
@@ -22,6 +22,13 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark, rows: int = 2000) -> None:
+    """Long texts: let the session send at most ``rows`` rows to Python at once, which keeps executors and their workers small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) < 1:
+        spark.conf.set(key, rows)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names made from ``names`` that ``df`` does not have in any case of letters."""
     have, out = {c.lower() for c in df.columns}, []

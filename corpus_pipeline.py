@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlake.llm import decontaminate, line_dedup, near_duplicates, packing, resampling
-from recordlake.llm.common import cut_lineage, table
+from recordlake.llm.common import cut_lineage, short_batches, table
 from recordlake.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling; documents that are not drawn go."""
+    short_batches(spark)
     model = resampling.fit(docs, resampling.judgements(table(spark, sf_dir, "labels")))
     out, how = resampling.resample(docs, model)
     return out.where(how["selected"]).select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, limits
 from ..session import work_folder
-from ..streaming import ingest, logs, stateful
+from ..streaming import ingest, ledger, logs, stateful
 from .registry import query
 from .views import r_sql, register, table
 
@@ -136,31 +136,100 @@ def stream_flag_repeats(spark, sf_dir):
     return flagged.select(c("seq").alias("event_id"), "is_repeat")
 
 
+# The rows of a file are numbered as written: by record id. Repeats are decided by that number, then by file.
+_STATUS_SQL = """CASE WHEN id_code IS NULL OR age IS NULL OR age < 18 OR age > 130 OR length(id_code) < 5 THEN 'WARNING' ELSE 'VALID' END"""
+
+
+def _delivery(spark, sf_dir):
+    """Rows of register files: the file number f changes every hundred records, so id codes repeat across files."""
+    return register(spark, sf_dir).select(
+        c("record_id").cast("string").alias("serial_no"), c("id_code").alias("epic_no"), c("name_lat").alias("name_en"),
+        c("age").cast("string").alias("age"), (F.floor(c("record_id") / 100) % 20).cast("int").alias("f"), "record_id",
+    )
+
+
+def _deliver(rows, folder, names):
+    """One CSV file of sorted rows per f, in folders named by ``names``; equal rows give equal files."""
+    files = rows.withColumn("file", names).where(c("file").isNotNull()).repartition("file").sortWithinPartitions("file", "record_id")
+    files.drop("f", "record_id").write.mode("append").partitionBy("file").option("header", True).option("escape", '"').csv(folder)
+
+
 @query(
     "stream_ingest",
     r_sql(
-        """SELECT record_id, id_code, norm_name_lat AS name_lat, age, CASE WHEN id_code IS NULL OR age IS NULL OR age < 18
-        OR length(id_code) < 5 THEN 'WARNING' ELSE 'VALID' END AS first_status FROM r WHERE name_lat IS NOT NULL"""
+        f""", n AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY record_id) AS seq FROM (
+          SELECT *, (record_id // 100) % 20 AS f FROM r)),
+        k AS (SELECT *, row_number() OVER (PARTITION BY id_code ORDER BY seq, 'file=F' || f) AS nth FROM n WHERE name_lat IS NOT NULL)
+        SELECT record_id, id_code, norm_name_lat AS name_lat, age,
+          CASE WHEN id_code IS NOT NULL AND nth > 1 THEN 'DUPLICATE' ELSE {_STATUS_SQL} END AS status FROM k"""
     ),
 )
 def stream_ingest(spark, sf_dir):
     base = work_folder(spark, "stream-ingest")
-    rows = register(spark, sf_dir).select(
-        c("record_id").cast("string").alias("serial_no"), c("id_code").alias("epic_no"), c("name_lat").alias("name_en"),
-        c("age").cast("string").alias("age"), c("source_file_id").alias("f"),
-    )
-    rows.repartition("f").write.partitionBy("f").option("header", True).option("escape", '"').csv(f"{base}/in")
+    _deliver(_delivery(spark, sf_dir), f"{base}/in", F.concat(F.lit("F"), "f"))
     columns = ["serial_no", "epic_no", "name_en", "age"]
     ingest.ingest_files(
         spark, f"{base}/in/*", columns, f"{base}/table", f"{base}/checkpoint"
     ).awaitTermination()
-    stored = spark.read.parquet(f"{base}/table")
     # Serial 0 falls back to the row position, so the record is known by its id in the raw row.
     key = F.get_json_object("raw", "$.serial_no").cast("bigint")
-    status = F.when(c("status") == "VALID", "VALID").when(
-        c("id_code").isNotNull() & (F.length("id_code") >= 5) & (c("age") >= 18), "VALID"
-    ).otherwise("WARNING")
-    return stored.select(key.alias("record_id"), "id_code", "name_lat", "age", status.alias("first_status"))
+    return spark.read.parquet(f"{base}/table").select(key.alias("record_id"), "id_code", "name_lat", "age", "status")
+
+
+_ONCE_SQL = f""", n AS (SELECT *, CASE WHEN f < 10 THEN 0 ELSE 1 END AS micro_batch, row_number() OVER (PARTITION BY f ORDER BY record_id) AS seq
+    FROM (SELECT *, (record_id // 100) % 20 AS f FROM r)),
+  k AS (SELECT *, row_number() OVER w AS nth, min(micro_batch) OVER (PARTITION BY id_code) AS first_batch,
+      first_value(record_id) OVER w AS first_id
+    FROM n WHERE name_lat IS NOT NULL WINDOW w AS (PARTITION BY id_code ORDER BY micro_batch, seq, 'file=F' || f)),
+  i AS (SELECT *, id_code IS NOT NULL AND nth > 1 AS repeated, id_code IS NOT NULL AND first_batch < micro_batch AS stored FROM k)
+"""
+
+
+def _ingest_twice(spark, sf_dir):
+    """Half of the files, then the other half with copies of a third of all files under other names."""
+    base = work_folder(spark, "ingest-once")
+    rows = _delivery(spark, sf_dir)
+    for names in (
+        [F.when(c("f") < 10, F.concat(F.lit("F"), "f"))],
+        [F.when(c("f") >= 10, F.concat(F.lit("F"), "f")), F.when(c("f") % 3 == 0, F.concat(F.lit("copy of F"), "f"))],
+    ):
+        for name in names:
+            _deliver(rows, f"{base}/in", name)
+        ledger.ingest_once(spark, f"{base}/in/*", f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/table"
+
+
+@query(
+    "ingest_once",
+    r_sql(
+        _ONCE_SQL
+        + f"""SELECT record_id, micro_batch, id_code, norm_name_lat AS name_lat, age,
+          CASE WHEN repeated THEN 'DUPLICATE' ELSE {_STATUS_SQL} END AS status, CASE WHEN stored THEN first_id END AS duplicate_of FROM i"""
+    ),
+)
+def ingest_once(spark, sf_dir):
+    stored = ledger.stored_records(spark, _ingest_twice(spark, sf_dir))
+    key = F.get_json_object("raw", "$.serial_no").cast("bigint")
+    numbered = stored.withColumn("key", key)
+    firsts = numbered.select(c("record_id").alias("duplicate_of"), c("key").alias("first_key"))
+    return numbered.join(firsts, "duplicate_of", "left").select(
+        c("key").alias("record_id"), "micro_batch", "id_code", "name_lat", "age", "status", c("first_key").alias("duplicate_of")
+    )
+
+
+@query(
+    "ingest_ledger",
+    r_sql(
+        _ONCE_SQL
+        + """, s AS (SELECT f, micro_batch, count(*) AS n FROM i GROUP BY f, micro_batch)
+        SELECT 'F' || f AS file, micro_batch, 'STORED' AS outcome, n AS n_records FROM s
+        UNION ALL SELECT 'copy of F' || f, 1, 'SAME_CONTENT', 0 FROM s WHERE f % 3 = 0"""
+    ),
+)
+def ingest_ledger(spark, sf_dir):
+    found = ledger.ledger(spark, _ingest_twice(spark, sf_dir))
+    name = F.url_decode(F.regexp_extract("source_path", "/file=([^/]*)/", 1))
+    return found.select(name.alias("file"), "micro_batch", "outcome", "n_records")
 
 
 @query("search_log", "SELECT event_id, 'q' || event_type AS query FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, limits
 from ..session import work_folder
-from ..streaming import ingest, ledger, logs, stateful
+from ..streaming import ingest, ledger, logs, progress, stateful
 from .registry import query
 from .views import r_sql, register, table
 
@@ -232,6 +232,53 @@ def ingest_ledger(spark, sf_dir):
     return found.select(name.alias("file"), "micro_batch", "outcome", "n_records")
 
 
+# Every event updates some fields of its user's progress and leaves the others as they were.
+_PROGRESS_FIELDS = ["percentage", "current_stage", "current_file"]
+_PROGRESS_SQL = """
+WITH u AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 2 = 0 THEN (event_id % 101)::INTEGER END AS percentage,
+    CASE WHEN event_id % 3 = 0 THEN upper(event_type) END AS current_stage,
+    CASE WHEN event_id % 7 = 0 THEN 'file-' || event_id % 13 END AS current_file FROM events)
+SELECT user_id, coalesce(last(percentage ORDER BY ts, event_id) FILTER (percentage IS NOT NULL), 0) AS percentage,
+  coalesce(last(current_stage ORDER BY ts, event_id) FILTER (current_stage IS NOT NULL), 'QUEUED') AS current_stage,
+  coalesce(last(current_file ORDER BY ts, event_id) FILTER (current_file IS NOT NULL), '') AS current_file,
+  count(*) AS n_updates, max(ts) AS updated_at
+FROM u GROUP BY user_id
+"""
+
+
+def _progress_updates(events):
+    event = c("event_id")
+    return events.select(
+        "user_id", "event_id", "ts", F.when(event % 2 == 0, (event % 101).cast("int")).alias("percentage"),
+        F.when(event % 3 == 0, F.upper("event_type")).alias("current_stage"),
+        F.when(event % 7 == 0, F.concat(F.lit("file-"), event % 13)).alias("current_file"),
+    )
+
+
+@query("progress_merge", _PROGRESS_SQL)
+def progress_merge(spark, sf_dir):
+    updates = _progress_updates(table(spark, sf_dir, "events"))
+    found = progress.merge_updates(updates, "user_id", "ts", "event_id", _PROGRESS_FIELDS)
+    return found.withColumn("updated_at", c("updated_at").cast("timestamp_ntz"))
+
+
+@query("progress_stream", _PROGRESS_SQL.replace("max(ts) AS", "date_trunc('millisecond', max(ts)) AS"))
+def progress_stream(spark, sf_dir):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    progress.use_rocksdb(spark)
+    try:
+        updates = _progress_updates(ingest.table_stream(spark, f"{sf_dir}/events.parquet"))
+        rows = ingest.run_to_table(
+            progress.merge_updates_stream(updates, "user_id", "ts", "event_id", _PROGRESS_FIELDS, idle_seconds=400 * DAY), "progress"
+        )
+    finally:
+        spark.conf.set(key, before)
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct(*_PROGRESS_FIELDS, "n_updates", "updated_at"), "n_updates").alias("p"))
+    shown = {f: F.coalesce(c(f"p.{f}"), F.lit(progress.INITIAL[f])).alias(f) for f in _PROGRESS_FIELDS}
+    return last.select("user_id", *shown.values(), "p.n_updates", c("p.updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
 @query("search_log", "SELECT event_id, 'q' || event_type AS query FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
 def search_log(spark, sf_dir):
     log = table(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.lit("q"), "event_type").alias("query"))

@@ -22,6 +22,7 @@ from ..operators.quality import STORED_ID, check_batch
 from ..operators.records import canonical_records
 from ..session import cut_lineage
 from ..sources.tabular import read_delimited
+from .progress import counted
 
 c = F.col
 
@@ -159,7 +160,7 @@ def ingest_once(
 
     Files are known by the hash of their content: a copy under another name, or delivered again, adds a line to the
     ledger and no record. The files of a micro-batch share one header. Hashes are made on the executors, and
-    file contents go no further than that. A record whose id code was stored by an earlier micro-batch is a DUPLICATE.
+    file contents go no further than that. A :class:`ProgressListener` sees the files and bytes of every micro-batch. A record whose id code was stored by an earlier micro-batch is a DUPLICATE.
     """
     found = (
         spark.readStream.format("binaryFile").schema(_BINARY)
@@ -168,6 +169,7 @@ def ingest_once(
     arrived = found.select(
         c("path").alias("source_path"), F.sha2("content", 256).alias("file_hash_sha256"), c("length").alias("file_size_bytes")
     )
+    arrived = counted(arrived, "files", n_bytes="file_size_bytes")
     return (
         arrived.writeStream.foreachBatch(lambda batch, number: store_files(batch, number, table, mapping, metadata, batch_id))
         .option("checkpointLocation", checkpoint)

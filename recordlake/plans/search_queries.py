@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as S
-from ..operators import search_batch, similarity
+from ..operators import search_batch, similarity, text_index
 from ..operators.search import SearchFilters, search
-from .registry import query
+from ..session import work_folder
+from .registry import ORACLES, query
 from .views import r_sql, register, table
 
 c = F.col
@@ -316,3 +317,52 @@ _TERMS = ["the", "tion", "are", "aux", "von", "es", "with"]
 def token_search(spark, sf_dir):
     found = similarity.token_search(table(spark, sf_dir, "documents"), "doc_id", "text", _TERMS)
     return found.withColumn("score", F.round("score", 6))
+
+
+_WORDS_SQL = """
+WITH d AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9/_-]+', ' ', 'g')), ' '),
+    lambda x: x <> '') AS w FROM documents)"""
+_PHRASE = ["the", "and", "of", "the"]
+
+
+def _indexed(spark, sf_dir):
+    """An index of the documents, added in two batches."""
+    path = work_folder(spark, "text-index")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for batch in (0, 1):
+        text_index.add_batch(docs.where(c("doc_id") % 2 == batch), path, str(batch), buckets=8, splits=2)
+    return text_index.Index(spark, path, buckets=8)
+
+
+@query("index_token_search", ORACLES["token_search"])
+def index_token_search(spark, sf_dir):
+    return _indexed(spark, sf_dir).tf_idf(_TERMS).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "index_bm25",
+    _WORDS_SQL
+    + f""",
+    t AS (SELECT unnest({_TERMS}) AS term),
+    h AS (SELECT doc_id, term, len(w) AS size, len(list_filter(w, lambda x: x = term)) AS tf FROM d, t),
+    f AS (SELECT term, count(*) AS df FROM h WHERE tf > 0 GROUP BY term),
+    n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d)
+    SELECT doc_id, CAST(count(*) AS INTEGER) AS n_terms, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+      / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean))), 6) AS score
+    FROM h JOIN f USING (term), n WHERE tf > 0 GROUP BY doc_id
+    """,
+)
+def index_bm25(spark, sf_dir):
+    return _indexed(spark, sf_dir).bm25(_TERMS).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "index_phrase",
+    _WORDS_SQL
+    + f""",
+    p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - {len(_PHRASE) - 1})) AS i FROM d WHERE len(w) >= {len(_PHRASE)})
+    SELECT doc_id, count(*) AS n_matches, CAST(min(i) - 1 AS INTEGER) AS first_place FROM p WHERE w[i:i + {len(_PHRASE) - 1}] = {_PHRASE} GROUP BY doc_id
+    """,
+)
+def index_phrase(spark, sf_dir):
+    return _indexed(spark, sf_dir).phrase(_PHRASE)

@@ -5,19 +5,21 @@ band of three cells, so the next word begins with the rows of the prefix that it
 with the word before (their longest common prefix, LCP); where a row exceeds one edit
 all words with that prefix are skipped.
 
-Two words one edit apart share the first half of the shorter one, or else its second
-half. So the vocabulary is sorted twice, as it is and with reversed words, and a scan ends
-with the words that share half of it; a pair is taken from the reversed list only if the
-first halves differ. Each sorted list is cut into blocks of like size, whatever its
-words share. A word goes on into the blocks behind its own as long as these can hold words with
-its half, skipping a block whose shared prefix already exceeds one edit. Pairs are
-counted where they are found, never written.
+Two words one edit apart share the first k letters of the shorter one, or else its letters
+behind these. So the vocabulary is sorted twice, as it is and with reversed words, and a scan ends
+with the words that share such a part; a pair is taken from the reversed list only if the
+first parts differ. k depends on the length: it is where the groups with equal parts are smallest
+in a sample, about half of the length in ordinary text, more where many words begin alike. Each sorted
+list is cut into blocks of like size, whatever its words share. A word goes on into the
+blocks behind its own as long as these can hold words with its part, skipping a block
+whose shared prefix already exceeds one edit. Pairs are counted where they are found, never written.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,6 +140,28 @@ def prefix_fits(x: str, prefix: str) -> bool:
     return True
 
 
+def best_parts(sample: list[str]) -> dict[int, int]:
+    """For each length in the sample the k that makes the groups of equal first k letters and equal letters behind them smallest."""
+    by_length: dict[int, list[str]] = {}
+    for w in sample:
+        for m in (len(w), len(w) - 1):
+            by_length.setdefault(m, []).append(w)
+    out = {}
+    for m, words in by_length.items():
+        def cost(k: int) -> tuple[int, int]:
+            groups = [Counter(w[:k] for w in words), Counter(w[k - m :] for w in words)]
+            return sum(n * n for g in groups for n in g.values()), abs(k - m // 2)  # noqa: B023
+
+        out[m] = min(range(1, m), key=cost) if m > 1 else 0
+    return out
+
+
+def part_of(length: int, parts: dict[int, int], reverse: bool) -> int:
+    """How many letters from its beginning (``reverse``: its end) a word shares with those near to it, at least."""
+    ks = [(m, parts.get(m, m // 2)) for m in (length - 1, length)]
+    return max(0, min(m - k if reverse else k for m, k in ks))
+
+
 def scan(x: str, words: list[str], lcp: list[int], j: int, known: int, half: int) -> Iterator[int]:
     """Places from j on of words within one edit of x, up to the last that shares x[:half].
 
@@ -171,7 +195,9 @@ def scan(x: str, words: list[str], lcp: list[int], j: int, known: int, half: int
         known = lcp[j] if j < end else -1
 
 
-def near_in_block(keys: list[str], counts: list[int], guests: list[tuple[str, int]], reverse: bool) -> list[tuple[str, int, int, str]]:
+def near_in_block(
+    keys: list[str], counts: list[int], guests: list[tuple[str, int]], reverse: bool, parts: dict[int, int]
+) -> list[tuple[str, int, int, str]]:
     """(word, how many near, count and word of the best) of a sorted block's words and of those that come from blocks before it."""
     lcp = [0, *(shared(a, b) for a, b in zip(keys, keys[1:], strict=False))]
     plain = [k[::-1] for k in keys] if reverse else keys
@@ -184,10 +210,10 @@ def near_in_block(keys: list[str], counts: list[int], guests: list[tuple[str, in
             have[1:] = n, other
 
     def pairs(key: str, word: str, n: int, j: int, known: int) -> None:
-        half = len(key) // 2 if reverse else (len(key) - 1) // 2
-        for i in scan(key, keys, lcp, j, known, half):
+        for i in scan(key, keys, lcp, j, known, part_of(len(key), parts, reverse)):
             other = plain[i]
-            first = min(len(word), len(other)) // 2
+            least = min(len(word), len(other))
+            first = parts.get(least, least // 2)
             if (word[:first] == other[:first]) != reverse:
                 credit(word, other, counts[i])
                 credit(other, word, n)
@@ -200,11 +226,11 @@ def near_in_block(keys: list[str], counts: list[int], guests: list[tuple[str, in
     return [(w, *v) for w, v in near.items()]
 
 
-def homes(key: str, cuts: list[str], reverse: bool) -> Iterator[int]:
+def homes(key: str, cuts: list[str], part: int) -> Iterator[int]:
     """The block of a word, then those behind it that may hold words near to it."""
     own = bisect_right(cuts, key)
     yield own
-    half = key[: len(key) // 2 if reverse else (len(key) - 1) // 2]
+    half = key[:part]
     for b in range(own, len(cuts)):  # block b + 1 begins with cuts[b]
         if cuts[b][: len(half)] > half:
             return
@@ -224,7 +250,7 @@ def near_words(words: DataFrame, block: int = BLOCK, most_blocks: int = MOST_BLO
     Words are near if they differ by exactly one inserted, deleted or replaced code point. The
     form is the near word of the largest n (ties: smallest in code-point order), if that n is at
     least twice the word's own. Lists of at most ``most_blocks`` cuts of bounded length are sent to the tasks; the places
-    of the cuts come from a sample by hash and only decide how the work is split. No word: no row.
+    of the cuts and the parts that are shared come from a sample by hash and only decide how the work is split. No word: no row.
     """
     total = words.count()
     blocks = max(1, min(most_blocks, -(-total // block)))
@@ -232,22 +258,24 @@ def near_words(words: DataFrame, block: int = BLOCK, most_blocks: int = MOST_BLO
     sample = words.where(place < F.lit(min(1.0, SAMPLE / max(total, 1)))) if blocks > 1 else words.limit(0)
     drawn = sample.select(F.substring("word", 1, CUT_LENGTH), F.substring(F.reverse("word"), 1, CUT_LENGTH)).toPandas()
     cuts = [cuts_of(sorted(drawn[x]), blocks) for x in drawn.columns]
-    shared_cuts = words.sparkSession.sparkContext.broadcast(cuts)
+    parts = best_parts([w for w in drawn.iloc[:, 0] if len(w) < CUT_LENGTH])
+    told = words.sparkSession.sparkContext.broadcast((cuts, parts))
 
     def dealt(batches):
+        cuts, parts = told.value
         for b in batches:
             rows = [
                 (r, h, w[::-1] if r else w, n, k == 0)
                 for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
                 for r in (False, True)
-                for k, h in enumerate(homes(w[::-1] if r else w, shared_cuts.value[r], r))
+                for k, h in enumerate(homes(w[::-1] if r else w, cuts[r], part_of(len(w), parts, r)))
             ]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["reverse", "block", "key", "n", "own"]).astype({"block": "int32"}))
 
     def near(group, pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf.own].sort_values("key")
         guests = pdf[~pdf.own]
-        found = near_in_block(own.key.tolist(), own.n.tolist(), list(zip(guests.key, guests.n.tolist(), strict=True)), bool(group[0]))
+        found = near_in_block(own.key.tolist(), own.n.tolist(), list(zip(guests.key, guests.n.tolist(), strict=True)), bool(group[0]), told.value[1])
         return pd.DataFrame(found, columns=["word", "near", "best_n", "best"])
 
     pieces = words.select("word", "n").mapInArrow(dealt, "reverse boolean, block int, key string, n long, own boolean")

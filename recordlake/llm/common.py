@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, work_folder
 
-__all__ = ["ASCII_LOWER", "WHITE", "cut_lineage", "fresh", "id_and_text", "in_batches", "short_batches", "table", "text_key", "work_folder"]
+__all__ = ["ASCII_LOWER", "WHITE", "cut_lineage", "fresh", "id_and_text", "in_batches", "short_batches", "sole", "table", "text_key", "work_folder"]
 
 #: The white space of the text contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\v\f\r"
@@ -29,6 +29,18 @@ def short_batches(spark, rows: int = 2000) -> None:
         spark.conf.set(key, rows)
 
 
+_in_use: list[dict] = []
+
+
+def sole(cache: dict) -> dict:
+    """The cache, once those of other operators in this worker are emptied: workers go on from one operator to the next."""
+    if not _in_use or _in_use[0] is not cache:
+        for other in _in_use:
+            other.clear()
+        _in_use[:] = [cache]
+    return cache
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names made from ``names`` that ``df`` does not have in any case of letters."""
     have, out = {c.lower() for c in df.columns}, []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, fresh, id_and_text, in_batches
+from .common import cut_lineage, fresh, id_and_text, in_batches, sole
 
 c = F.col
 
@@ -52,7 +52,7 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    get = _word_hashes.get
+    get = sole(_word_hashes).get
     h = np.array([get(w) or _hash(w) for w in words], dtype=np.uint64)
     with np.errstate(over="ignore"):
         size = max(1, len(h) - n + 1)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, fresh, id_and_text
+from .common import cut_lineage, fresh, id_and_text, sole
 
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 LARGE = 1e300
@@ -49,7 +49,7 @@ def features(text: str | None, bits: int) -> np.ndarray:
     tokens = _TOKEN.findall(text.encode()) if text else []
     if not tokens:
         return np.zeros(0, dtype=np.int64)
-    get = _known.get
+    get = sole(_known).get
     both = np.array([get(t) or _token(t) for t in tokens], dtype=np.uint64)
     with np.errstate(over="ignore"):
         shape = both & np.uint64(0xFFFF)

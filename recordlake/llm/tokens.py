@@ -13,6 +13,8 @@ import re
 import struct
 import zlib
 
+from .common import sole
+
 #: White space, or what some library version may take for it, besides blank and line feed; or a special token.
 _WHOLE = re.compile("[^\\S \\n]|[\u180e\u200b\ufeff]|<\\|")
 #: Letters of one byte block with their marks composed, then plain marks: the library makes one word of each part.
@@ -83,11 +85,11 @@ _known: dict[int, Encoder] = {}
 
 
 def encoder(definition: str) -> Encoder:
-    """The worker's encoder for a tokenizer definition; it lives on from task to task."""
+    """The worker's encoder for a tokenizer definition; it lives on from task to task until another operator needs the room."""
     key = zlib.crc32(definition.encode())
     if key not in _known:
         _known[key] = Encoder(definition)
-    return _known[key]
+    return sole(_known[key])
 
 
 def definition(path: str) -> str:

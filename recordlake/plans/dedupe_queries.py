@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedupe
+from ..operators import dedupe, entities
 from .registry import query
 from .views import r_sql, register, table
 
@@ -195,3 +195,21 @@ def customer_groups(spark, sf_dir):
         F.round("o_totalprice", 0).cast("int").alias("age"), c("o_orderkey").alias("source_serial_number"),
     )
     return dedupe.household_stats(orders).select("norm_house", "total_members", "head_record_id")
+
+
+@query(
+    "duplicate_entities",
+    r_sql(
+        """, s AS (SELECT DISTINCT record_id, 'id|' || id_code AS k FROM r WHERE id_code IS NOT NULL
+          UNION SELECT record_id, 'file|' || source_file_id || '|' || source_serial_number FROM r WHERE source_serial_number <> 0
+          UNION SELECT record_id, 'alike|' || replace(norm_name_lat, ' ', '') || '|' || replace(norm_rel_lat, ' ', '') || '|'
+              || norm_house || '|' || coalesce(CAST(age // 2 * 2 AS VARCHAR), 'noage')
+            FROM r WHERE length(replace(norm_name_lat, ' ', '')) >= 3 AND length(replace(norm_rel_lat, ' ', '')) >= 3),
+        e AS (SELECT DISTINCT a.record_id AS x, b.record_id AS y FROM s a JOIN s b ON a.k = b.k),
+        t AS MATERIALIZED (WITH RECURSIVE g AS (SELECT record_id AS x, record_id AS y FROM r UNION SELECT g.x, e.y FROM g JOIN e ON g.y = e.x)
+          SELECT x, min(y) AS entity FROM g GROUP BY x)
+        SELECT x AS record_id, entity, count(*) OVER (PARTITION BY entity) AS n_members FROM t"""
+    ),
+)
+def duplicate_entities(spark, sf_dir):
+    return entities.entities(register(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scanned, text, translit
 from ..functions import fixed
+from ..functions.phonetic import sound_key, sound_key_sql
 from .registry import query
 from .views import DEVANAGARI_LETTERS, LATIN_LETTERS, r_sql, register, table
 
@@ -408,3 +409,29 @@ def soundex_groups(spark, sf_dir):
     return named.groupBy(sound.alias("sound")).agg(
         F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_record")
     )
+
+
+@query(
+    "sound_keys",
+    r_sql(
+        f"SELECT record_id, {sound_key_sql('name_lat')} AS key_lat, {sound_key_sql('name_dev')} AS key_dev, "
+        f"{sound_key_sql('rel_name_lat')} AS key_rel FROM r"
+    ),
+)
+def sound_keys(spark, sf_dir):
+    keys = {"key_lat": "name_lat", "key_dev": "name_dev", "key_rel": "rel_name_lat"}
+    return register(spark, sf_dir).select("record_id", *[sound_key(c(x)).alias(k) for k, x in keys.items()])
+
+
+@query(
+    "sound_groups",
+    r_sql(
+        f""", k AS (SELECT record_id, unnest([{sound_key_sql('name_lat')}, {sound_key_sql('name_dev')}]) AS sound FROM r)
+        SELECT sound, count(DISTINCT record_id) AS n, min(record_id) AS first_record FROM k WHERE sound IS NOT NULL GROUP BY sound"""
+    ),
+)
+def sound_groups(spark, sf_dir):
+    """Records that sound alike in either script, each counted once for a sound."""
+    both = F.array_distinct(F.array_compact(F.array(sound_key(c("name_lat")), sound_key(c("name_dev")))))
+    each = register(spark, sf_dir).select("record_id", F.explode(both).alias("sound"))
+    return each.groupBy("sound").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_record"))

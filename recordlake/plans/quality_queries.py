@@ -360,18 +360,15 @@ _REPORT_SQL = CHECKED_SQL + """, t AS (
 """
 
 
-@query(
-    "import_report",
-    r_sql(
-        _REPORT_SQL
-        + """SELECT batch_id, processed AS records_processed, avg_confidence,
-        round(valid * 100 / CAST(processed AS DOUBLE), 1)::DOUBLE AS valid_pct, dups AS duplicates_count, total_errors,
-        bad_ages, n_codes::INTEGER AS n_codes FROM t JOIN b USING (batch_id)"""
-    ),
+_REPORT_ROWS_SQL = r_sql(
+    _REPORT_SQL
+    + """SELECT batch_id, processed AS records_processed, avg_confidence,
+    round(valid * 100 / CAST(processed AS DOUBLE), 1)::DOUBLE AS valid_pct, dups AS duplicates_count, total_errors,
+    bad_ages, n_codes::INTEGER AS n_codes FROM t JOIN b USING (batch_id)"""
 )
-def import_report(spark, sf_dir):
-    batch = checked(spark, sf_dir)
-    report = stats.import_report(batch, quality.batch_errors(batch))
+
+
+def _report_rows(report):
     return report.select(
         "batch_id", "records_processed", "avg_confidence", "valid_pct", "duplicates_count", "total_errors",
         F.coalesce(F.try_element_at("error_breakdown", F.lit("INVALID_AGE")), F.lit(0)).alias("bad_ages"),
@@ -379,15 +376,22 @@ def import_report(spark, sf_dir):
     )
 
 
-@query("report_json", r_sql(CHECKED_SQL + "SELECT DISTINCT batch_id FROM ck"))
+@query("import_report", _REPORT_ROWS_SQL)
+def import_report(spark, sf_dir):
+    batch = checked(spark, sf_dir)
+    return _report_rows(stats.import_report(batch, quality.batch_errors(batch)))
+
+
+@query("report_json", _REPORT_ROWS_SQL)
 def report_json(spark, sf_dir):
     from ..operators import audit
     from ..session import work_folder
 
     batch = checked(spark, sf_dir)
     folder = work_folder(spark, "report")
-    audit.write_report(stats.import_report(batch, quality.batch_errors(batch)), folder)
-    return spark.read.json(folder).select("batch_id")
+    report = stats.import_report(batch, quality.batch_errors(batch))
+    audit.write_report(report, folder)
+    return _report_rows(spark.read.schema(report.schema).json(folder))
 
 
 @query(

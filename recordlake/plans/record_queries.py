@@ -275,31 +275,24 @@ def export_projection(spark, sf_dir):
     return audit.export_projection(register(spark, sf_dir), masked=False, headers=False)
 
 
-@query(
-    "masked_export",
-    r_sql(
-        _EXPORT_SQL.format(
-            code="CASE WHEN length(id_code) > 6 THEN left(id_code, 3) || '****' || right(id_code, 3) "
-            "WHEN length(id_code) > 0 THEN '****' ELSE '' END",
-            house="left(house_number, 1) || '*'",
-        )
-    ),
+_MASKED_SQL = r_sql(
+    _EXPORT_SQL.format(
+        code="CASE WHEN length(id_code) > 6 THEN left(id_code, 3) || '****' || right(id_code, 3) "
+        "WHEN length(id_code) > 0 THEN '****' ELSE '' END",
+        house="left(house_number, 1) || '*'",
+    )
 )
+
+
+@query("masked_export", _MASKED_SQL)
 def masked_export(spark, sf_dir):
     return audit.export_projection(register(spark, sf_dir), headers=False)
 
 
-@query(
-    "export_file",
-    r_sql(
-        """SELECT CASE WHEN length(id_code) > 6 THEN left(id_code, 3) || '****' || right(id_code, 3)
-        WHEN length(id_code) > 0 THEN '****' END AS code, gender, status, count(*) AS n
-        FROM r GROUP BY code, gender, status"""
-    ),
-)
+@query("export_file", _MASKED_SQL)
 def export_file(spark, sf_dir):
     folder = work_folder(spark, "export")
     audit.write_export(register(spark, sf_dir), folder)
     back = spark.read.option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(folder)
-    keys = [c("EPIC Number").alias("code"), c("Gender").alias("gender"), c("Validation Status").alias("status")]
-    return back.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # An empty cell is read as null.
+    return back.select(*[F.coalesce(c(f"`{header}`"), F.lit("")).alias(name) for header, name in audit.EXPORT_COLUMNS.items()])

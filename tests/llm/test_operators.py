@@ -124,6 +124,22 @@ def test_urls(spark):
     assert U.judge_urls(pages, URL_RULES).count() == len(urls) + 1 and U.judge_urls(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_urls_rules_of_any_alphabet_and_without_tokens(spark):
+    rules = [
+        U.host_rule("münchen.de", "/", "block"), U.host_rule("ÄRGER.org", "/Über Uns/", "block"), U.label_rule("spiel-ß"),
+        U.Rule("digits", "block", r"^[0-9.]+/", (), 5), U.Rule("odd", "block", r"/[^/]{3000}$", (), 6),
+        U.host_rule("net", "", "allow"),
+    ]
+    urls = ["http://a.münchen.de/x", "http://xmünchen.de/", "http://ÄRGER.org/Über Uns/a", "http://ärger.org/über uns/a", "http://spiel-ß-2.fr/",
+            "http://10.2.3.4/a", "http://q.org/" + "z" * 3000, "http://q.org/" + "z" * 2999, "http://q.net/a", "http://net.work/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.rule for r in U.judge_urls(pages, rules).collect()}
+    assert [got[i] for i in range(10)] == [
+        "münchen.de/", None, "ÄRGER.org/Über Uns/", None, "label:spiel-ß", "digits", "odd", None, "net", None,
+    ]
+    assert all(r.rule is None for r in U.judge_urls(pages, []).collect())
+
+
 def brute_measures(text):
     words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", text or "") if w]
     hit = set()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, work_folder
 
-__all__ = ["ASCII_LOWER", "WHITE", "cut_lineage", "fresh", "id_and_text", "in_batches", "short_batches", "sole", "table", "text_key", "work_folder"]
+__all__ = ["ASCII_LOWER", "WHITE", "cut_lineage", "fresh", "give_back", "id_and_text", "in_batches", "short_batches", "sole", "table", "text_key", "work_folder"]
 
 #: The white space of the text contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\v\f\r"
@@ -37,10 +39,22 @@ def sole(cache: dict) -> dict:
     if not _in_use or _in_use[0] is not cache:
         for other in _in_use:
             other.clear()
+        if _in_use:
+            give_back()
         _in_use[:] = [cache]
     return cache
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the machine, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it decides itself
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names made from ``names`` that ``df`` does not have in any case of letters."""
     have, out = {c.lower() for c in df.columns}, []

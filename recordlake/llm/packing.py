@@ -130,14 +130,15 @@ def pack_ids(documents: Iterable[tuple], window: int, most_open: int = 4096) ->
 
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, most_open: int = 4096,
-    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep_pieces: int = 1_000_000,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids on demand.
 
     ``docs`` should be a stored table, so that a task that runs again sees the same
     rows. Null and empty texts are documents of the end id alone. Repeated rows
     and ids are packed as often as they occur; other columns are not read. Long
-    documents fill whole windows and one rest. No document: no row.
+    documents fill whole windows and one rest. No document: no row. A worker keeps the
+    ids of at most ``keep_pieces`` words; fewer take less memory and more time.
     """
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
     schema = T.StructType(
@@ -149,7 +150,7 @@ def pack(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def rows(batches):
-        encode = encoder(stated.value).ids
+        encode = encoder(stated.value, keep_pieces).ids
         shard = TaskContext.get().partitionId() << 32
         documents = (
             (doc, encode(text) + end)

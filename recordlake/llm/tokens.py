@@ -81,14 +81,14 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, _PIECES[self.kind].findall(text)))
 
 
-_known: dict[int, Encoder] = {}
+_known: dict[tuple[int, int], Encoder] = {}
 
 
-def encoder(definition: str) -> Encoder:
+def encoder(definition: str, keep: int = 1_000_000) -> Encoder:
     """The worker's encoder for a tokenizer definition; it lives on from task to task until another operator needs the room."""
-    key = zlib.crc32(definition.encode())
+    key = zlib.crc32(definition.encode()), keep
     if key not in _known:
-        _known[key] = Encoder(definition)
+        _known[key] = Encoder(definition, keep)
     return sole(_known[key])
 
 

@@ -50,6 +50,19 @@ def test_encoder_is_the_library(name):
         assert np.frombuffer(e.ids(text), "<u4").tolist() == want, text
 
 
+def test_packing_with_few_kept_words(docs):
+    name = tokenizer("word_bpe_49k.json")
+    packed = [sorted(map(repr, P.pack(docs, name, 1, keep_pieces=k).drop("sequence_id", "offset").collect())) for k in (2, 1_000_000)]
+    assert packed[0] == packed[1]
+
+
+def test_memory_is_given_back_between_operators():
+    from recordlake.llm.common import sole
+
+    first, second = {"a": 1}, {"b": 2}
+    assert sole(first) is first and sole(second) is second and not first and second == {"b": 2}
+
+
 def test_packing(docs, empty):
     library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
     rows = P.pack(docs, tokenizer("word_bpe_49k.json"), 1, with_ids=True).collect()

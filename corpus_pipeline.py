@@ -35,8 +35,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, in windows of 2048 ids."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"), end_id=1)
+    """Pieces of what is left, in windows of 2048 ids; workers that ran the stages before keep few words."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), end_id=1, keep_pieces=200_000)
 
 
 STAGES = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as S
-from ..operators import search_batch, similarity, text_index
+from ..operators import ranked, search_batch, similarity, text_index
 from ..operators.search import SearchFilters, search
 from ..session import work_folder
 from .registry import ORACLES, query
@@ -168,6 +168,40 @@ def sorted_page(spark, sf_dir):
     return page.select("record_id", "score", F.coalesce("age", F.lit(0)).alias("age"))
 
 
+@query(
+    "ranked_matches",
+    r_sql(
+        scored_sql("bolt")
+        + """SELECT row_number() OVER (ORDER BY coalesce(age, 0), record_id) AS rank, record_id, score, coalesce(age, 0) AS age FROM m"""
+    ),
+)
+def ranked_matches(spark, sf_dir):
+    """Every match with its rank: one stored result serves all pages."""
+    filters = {"query": "bolt", "sort_by": "age", "descending": False}
+    path = work_folder(spark, "ranked")
+    ranked.store(_run(spark, sf_dir, **filters).matches, path, S.sort_columns(SearchFilters(**filters)), ranges=16)
+    return ranked.ranked(spark, path).select("rank", "record_id", "score", F.coalesce("age", F.lit(0)).alias("age"))
+
+
+_DEEP_PAGES = (1, 41, 97)  # pages of 50 rows
+
+
+@query(
+    "deep_pages",
+    """SELECT rank, event_id, event_type, value FROM (SELECT event_id, event_type, value, row_number() OVER
+      (ORDER BY event_type DESC, value, event_id) AS rank FROM events) WHERE (rank - 1) // 50 + 1 IN (1, 41, 97)""",
+)
+def deep_pages(spark, sf_dir):
+    """Three pages of all events; five event types hold all rows, so every one of them is split over ranges."""
+    path = work_folder(spark, "ranked")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    ranked.store(events, path, [c("event_type").desc(), c("value"), c("event_id")], ranges=32)
+    first, *more = [ranked.page(spark, path, number, 50) for number in _DEEP_PAGES]
+    for one in more:
+        first = first.unionByName(one)
+    return first
+
+
 @query(
     "facets",
     r_sql(

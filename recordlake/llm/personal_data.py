@@ -144,7 +144,7 @@ def _names(text: str) -> Iterator[tuple[int, int]]:
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of spans that some labeler proposes and all vote on."""
     seen = set()
-    low = text.lower() if len(text) < 1 << 30 else text
+    low = text.lower()
     found = [(*s, "person") for s in _names(text)]
     if any(w in low for w in _KEY_WORDS):
         found += [(*m.span(m.lastindex), "secret") for m in _SECRET.finditer(text)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -255,8 +256,9 @@ def json_items_query(spark, sf_dir):
         c("event_id").cast("string").alias("source_file_id"), reply.alias("reply")
     )
     out = json_items.items_to_records(replies, "reply")
-    same = out.groupBy("record_id").agg(F.count(F.lit(1)).alias("rows_of_id"))
-    return out.join(same, "record_id").select(
+    # Ids are unique unless a reply is delivered twice, so no window is large. A join would parse every reply again, and
+    # be a broadcast of all ids: the planner's sizes shrink with the columns of an item that are dropped.
+    return out.withColumn("rows_of_id", F.count(F.lit(1)).over(Window.partitionBy("record_id"))).select(
         c("source_file_id").cast("bigint").alias("event_id"), "source_serial_number", "name_lat", "id_code", "age", "status",
         "rows_of_id",
     )

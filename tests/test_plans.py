@@ -73,3 +73,9 @@ def test_per_key_aggregate_is_computed_once(spark, sf_dir):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
+
+
+def test_replies_are_parsed_once_and_ids_not_joined(spark, sf_dir):
+    plan = REGISTRY.QUERIES["json_items"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"^[ +:*()\d-]*Generate ", plan.split("\n\n")[0], re.M)) == 1
+    assert "Join" not in plan

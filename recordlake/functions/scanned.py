@@ -72,7 +72,7 @@ def clean_name(c: Column) -> Column:
     """Name without its label and with letters only."""
     label = f"(?i)^{_any_of(fixed.OCR_NAME_PREFIXES)}{WS}*[:：.]?{WS}*"
     value = F.regexp_replace(normalize_ocr_text(c), label, "")
-    value = _to_blanks(value, r"\u0900-\u097Fa-zA-Z")
+    value = _to_blanks(value, ("\u0900-\u097F", "a-z", "A-Z"))
 
     def confidence(v: Column) -> Column:
         return F.when(F.length(v) < 2, 0.40).when(F.length(v) > 50, 0.70).otherwise(0.95)

@@ -16,7 +16,9 @@ from pyspark.sql.types import StringType
 from . import fixed
 
 WS = fixed.WS
-_NOT_ASCII = r"[^\x00-\x7F]"
+# Characters that normalised text keeps: ranges and single ones.
+LATIN_KEPT = ("a-z", "0-9", "/", "_", "-")
+DEVANAGARI_KEPT = ("\u0900-\u097F", "0-9", "a-z", "A-Z", "/", "_", "-")
 
 
 def let(c: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,13 +52,36 @@ def joined(c: Column) -> Column:
     return F.replace(c, F.lit(" "), F.lit(""))
 
 
-def _to_blanks(c: Column, kept: str) -> Column:
+def outside(kept: Iterable[str]) -> str:
+    """Character class of all but the kept ranges (``a-z``) and characters.
+
+    It names ranges: Java tests a negated class several times slower.
+    """
+    parts, start = [], 0
+    for first, last in sorted((ord(k[0]), ord(k[-1])) for k in kept):
+        if start < first:
+            parts.append(rf"\x{{{start:X}}}-\x{{{first - 1:X}}}")
+        start = last + 1
+    return "[" + "".join(parts) + rf"\x{{{start:X}}}-\x{{{sys.maxunicode:X}}}]"
+
+
+def _not_ascii(text: Column) -> Column:
+    return F.octet_length(text) > F.length(text)
+
+
+def _in_words(text: Column, test: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """``change``, which maps characters, in those words between blanks that pass the test: most do not."""
+    words = F.transform(F.split(text, " "), lambda w: F.when(test(w), change(w)).otherwise(w))
+    return F.array_join(words, " ")
+
+
+def _to_blanks(c: Column, kept: Sequence[str]) -> Column:
     """Every run of characters outside the kept ones to one blank, then trim.
 
     Runs that already are a single blank, the most frequent kind by far, are
     not matched at all.
     """
-    return F.trim(F.regexp_replace(c, f"(?: ?[^ {kept}]|  )[^{kept}]*", " "))
+    return F.trim(F.regexp_replace(c, f"(?: ?{outside([*kept, ' '])}|  ){outside(kept)}*", " "))
 
 
 def squash(c: Column) -> Column:
@@ -136,8 +161,8 @@ def fold_latin(c: Column) -> Column:
         return F.when(text.rlike(rare), F.array_join(letters, "")).otherwise(text)
 
     def fold(text: Column) -> Column:
-        wide = let(text, unfold)
-        return F.when(text.rlike(_NOT_ASCII), F.translate(wide, source, target)).otherwise(text)
+        folded = _in_words(text, _not_ascii, lambda w: F.translate(unfold(w), source, target))
+        return F.when(_not_ascii(text), folded).otherwise(text)
 
     return let(c, fold)
 
@@ -145,7 +170,7 @@ def fold_latin(c: Column) -> Column:
 def normalize_latin(c: Column) -> Column:
     """Lower-case ASCII letters, digits, ``/ _ -`` and single blanks."""
     folded = F.lower(fold_latin(F.coalesce(c, F.lit(""))))
-    return _to_blanks(folded, "a-z0-9/_-")
+    return _to_blanks(folded, LATIN_KEPT)
 
 
 # ------------------------------------------------------------- Devanagari
@@ -164,15 +189,14 @@ def _composing_pairs() -> str:
 def _harmonise(c: Column, zero_width_as: str) -> Column:
     """Shared part of both Devanagari normalisers, up to the character whitelist."""
 
-    def compose(text: Column) -> Column:
+    def respelled(text: Column, letters: Mapping[str, str], found: str) -> Column:
         out = text
-        for dotted, spelled in fixed.DOTTED_LETTERS.items():
-            out = F.replace(out, F.lit(dotted), F.lit(spelled))
-        for spelled, composed in fixed.COMPOSED_LETTERS.items():
-            out = F.replace(out, F.lit(spelled), F.lit(composed))
-        return F.when(text.rlike(r"[\u0958-\u095F\u093C]"), out).otherwise(text)
+        for one, other in letters.items():
+            out = F.replace(out, F.lit(one), F.lit(other))
+        return F.when(text.rlike(found), out).otherwise(text)
 
-    c = let(c, compose)
+    c = let(c, lambda text: respelled(text, fixed.DOTTED_LETTERS, r"[\u0958-\u095F]"))
+    c = let(c, lambda text: respelled(text, fixed.COMPOSED_LETTERS, "\u093C"))
     if zero_width_as:
         hidden = fixed.ZERO_WIDTH + "\u00A0"
         c = F.translate(c, hidden, zero_width_as * len(hidden))
@@ -194,16 +218,16 @@ def normalize_devanagari(c: Column) -> Column:
         composed = F.when(
             text.rlike(r"[\u0300-\u036F]"), F.regexp_replace(text, _composing_pairs(), " ")
         ).otherwise(text)
-        return F.when(text.rlike(_NOT_ASCII), _harmonise(composed, "")).otherwise(text)
+        return F.when(_not_ascii(text), _harmonise(composed, "")).otherwise(text)
 
     plain = let(F.coalesce(c, F.lit("")), clean)
-    return _to_blanks(plain, r"\u0900-\u097F0-9a-zA-Z/_-")
+    return _to_blanks(plain, DEVANAGARI_KEPT)
 
 
 def normalize_ocr_text(c: Column) -> Column:
     """As :func:`normalize_devanagari` for scanned text: keeps punctuation, hidden marks to blanks."""
     bars = F.translate(F.coalesce(c, F.lit("")), "|", " ")
-    clean = let(bars, lambda t: F.when(t.rlike(_NOT_ASCII), _harmonise(t, " ")).otherwise(t))
+    clean = let(bars, lambda t: F.when(_not_ascii(t), _harmonise(t, " ")).otherwise(t))
     one_blank = F.regexp_replace(clean, f"(?: ?{fixed.WS_NOT_BLANK}|  ){WS}*", " ")
     return F.trim(one_blank)
 

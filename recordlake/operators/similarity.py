@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_latin, let, normalize_devanagari, normalize_latin
+from ..functions.text import LATIN_KEPT, fold_latin, let, normalize_devanagari, normalize_latin, outside
 from . import search as S
 
 c = F.col
@@ -155,10 +155,10 @@ def trigram_join(queries: DataFrame, values: DataFrame, threshold: float = NAME_
 # ------------------------------------------------------------ token search
 def tokens(text: Column) -> Column:
     """Words of a text in either script, lower case and accents folded."""
-    latin = F.split(F.lower(fold_latin(F.coalesce(text, F.lit("")))), "[^a-z0-9/_-]+")
+    latin = F.split(F.lower(fold_latin(F.coalesce(text, F.lit("")))), f"{outside(LATIN_KEPT)}+")
     dev = F.when(
         text.rlike(r"[\u0900-\u097F]"),
-        F.split(normalize_devanagari(F.regexp_replace(text, r"[^\u0900-\u097F]+", " ")), " "),
+        F.split(normalize_devanagari(F.regexp_replace(text, outside(["\u0900-\u097F"]) + "+", " ")), " "),
     )
     none = F.array().cast("array<string>")
     return F.filter(F.concat(latin, F.coalesce(dev, none)), lambda w: w != "")

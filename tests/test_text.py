@@ -87,3 +87,18 @@ def test_query_expansion(spark):
     assert {"RAMDAYAL", "ramdayal", "राम दयाल"} <= set(dev)
     assert digits == ["12"]
     assert run(spark, translit.query_script, ["12", "राम", "a राम"]) == ["latin", "devanagari", "mixed"]
+
+
+def test_classes_name_what_is_not_kept(spark, sf_dir):
+    """Java tests a negated class several times slower."""
+    import re
+
+    from recordlake.plans import load
+
+    for kept in (text.LATIN_KEPT, text.DEVANAGARI_KEPT, ["\u0900-\u097F"], ["a-z", " "]):
+        ranges = re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", text.outside(kept))
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x11000)])) + "\U0010FFFF"
+        assert re.findall(ranges, every) == re.findall(f"[^{''.join(kept)}]", every)
+    for name in ("norm_latin", "norm_devanagari", "token_search"):
+        plan = load().QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "[^" not in plan and r"\x{10FFFF}" in plan

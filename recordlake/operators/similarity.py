@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LATIN_KEPT, fold_latin, let, normalize_devanagari, normalize_latin, outside
+from ..session import cut_lineage
 from . import search as S
 
 c = F.col
@@ -167,17 +168,17 @@ def tokens(text: Column) -> Column:
 def token_search(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str]) -> DataFrame:
     """Documents holding any of the terms, scored by sum of tf * ln((1 + docs) / (1 + df)).
 
-    Texts stay in their task: only per-document counts of the searched terms
-    are exchanged, and the exchange lets both uses of them share one pass.
+    Texts are read once: of each, only the counts of the searched terms that occur are stored, for the
+    two steps that need them.
     """
     wanted = list(dict.fromkeys(x.lower() for x in terms))
-    counted = docs.select(c(doc_id), F.inline(_term_counts(tokens(c(text)), wanted)))
-    counted = counted.repartition(c(doc_id))
-    per_term = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Texts without any of the terms are counted too.
+    counted = cut_lineage(docs.select(c(doc_id), _term_counts(tokens(c(text)), wanted).alias("_found")), "term-counts")
+    per_term = counted.select(F.inline("_found")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # One entry per searched term.
     frequencies = per_term.agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    weighted = counted.withColumns({"_n": n_docs.scalar(), "_df": frequencies.scalar()})
+    n_docs = counted.agg(F.count(F.lit(1)).alias("n"))
+    weighted = counted.select(c(doc_id), F.inline("_found")).withColumns({"_n": n_docs.scalar(), "_df": frequencies.scalar()})
     weight = F.log((1 + c("_n")) / (1 + F.try_element_at("_df", c("term"))))
     return weighted.groupBy(doc_id).agg(
         F.count(F.lit(1)).cast("int").alias("n_terms"), F.sum(c("tf") * weight).alias("score")

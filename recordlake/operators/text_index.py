@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from ..session import cut_lineage
 from .similarity import tokens
 
 c = F.col
@@ -33,20 +35,47 @@ def _bucket(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
 
 
+def term_places(words: Column) -> Column:
+    """array<struct(term, places)> of the words of one text: places sorted by term and cut where the term changes."""
+
+    def cut(found: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(found) - 1)
+        first = F.filter(at, lambda i: (i == 0) | (F.get(found, i)["term"] != F.get(found, i - 1)["term"]))
+
+        def of_term(starts: Column) -> Column:
+            def entry(start: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(starts, k + 1), F.size(found))
+                places = F.transform(F.slice(found, start + 1, end - start), lambda x: x["place"])
+                return F.struct(F.get(found, start)["term"].alias("term"), places.alias("places"))
+
+            return F.transform(starts, entry)
+
+        return let(first, of_term)
+
+    def of_text(every: Column) -> Column:
+        placed = F.transform(every, lambda w, i: F.struct(w.alias("term"), i.alias("place")))
+        return F.when(F.size(every) > 0, let(F.sort_array(placed), cut))
+
+    return let(words, of_text)
+
+
 def add_batch(docs: DataFrame, path: str, batch: str, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, splits: int = SPLITS) -> None:
     """Add the documents of a batch, or replace the batch of that name; other batches are not touched.
 
     Words are those of the token search. Places count from 0. A document without words is
     counted and has no postings. Ids must be unique over all batches.
     """
-    words = docs.select(c(doc_id).alias("doc_id"), tokens(c(text)).alias("words"))
-    words.select("doc_id", F.size("words").alias("n_words")).write.mode("overwrite").parquet(f"{path}/texts/batch={batch}")
-    places = words.select("doc_id", F.posexplode("words").alias("place", "term"))
-    # A key is one term of one document, so no key is larger than a text.
-    postings = places.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    # Texts are read once. The postings of a text are made in its row, so they are all that is exchanged.
+    found = docs.select(c(doc_id).alias("doc_id"), term_places(tokens(c(text))).alias("found"))
+    found = cut_lineage(found, "term-places")
+    n_words = F.aggregate("found", F.lit(0), lambda n, x: n + F.size(x["places"]))
+    texts = found.select("doc_id", F.coalesce(n_words, F.lit(0)).alias("n_words"))
+    texts.write.mode("overwrite").parquet(f"{path}/texts/batch={batch}")
+    postings = found.select("doc_id", F.inline("found"))
     postings = postings.select("term", "doc_id", F.size("places").alias("tf"), "places", bucket_of(c("term"), buckets).alias("bucket"))
-    split = F.pmod(F.xxhash64("doc_id"), F.lit(splits))
-    dealt = postings.repartition(buckets * splits, "bucket", split).sortWithinPartitions("bucket", "term", "doc_id")
+    split = F.pmod(F.xxhash64("doc_id"), F.lit(splits)).cast("int")
+    # Every split of a bucket is a task of its own; by hash, some tasks had several and others none.
+    dealt = postings.repartitionById(buckets * splits, c("bucket") * splits + split).sortWithinPartitions("bucket", "term", "doc_id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
 
 

@@ -91,3 +91,33 @@ def test_only_the_buckets_of_the_terms_are_read_and_hot_terms_are_split(spark, b
     assert "bucket" in filters and "EqualTo(term,the)" in plan
     files = index.postings(["the"]).select(F.col("_metadata.file_path")).distinct().count()
     assert files == 9  # three batches, three splits each
+
+
+def test_texts_are_read_once_and_every_split_is_a_task(spark, tmp_path):
+    path, rows = str(tmp_path / "index"), corpus(seed=3, n=400)
+    read = spark.sparkContext.accumulator(0)
+    parts = spark.createDataFrame(rows, "doc_id bigint, text string").rdd.map(lambda r: (read.add(1), tuple(r))[1])
+    docs = spark.createDataFrame(parts, "doc_id bigint, text string")
+    text_index.add_batch(docs, path, "0", buckets=3, splits=2)
+    assert read.value == len(rows)
+    split = F.pmod(F.xxhash64("doc_id"), F.lit(2)) + 2 * F.col("bucket")
+    stored = spark.read.parquet(f"{path}/postings").select(F.col("_metadata.file_name").alias("f"), split.alias("s")).distinct().collect()
+    assert len({r.f for r in stored}) == len({r.s for r in stored}) == len(stored)
+
+
+def test_places_of_terms_in_a_row(spark):
+    texts = ["b a b", "", None, "a", "the the the a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", text_index.term_places(similarity.tokens(F.col("t"))).alias("f")).orderBy("i").collect()
+    assert [{x.term: x.places for x in r.f or []} for r in got] == [
+        {"a": [1], "b": [0, 2]}, {}, {}, {"a": [0]}, {"a": [3], "the": [0, 1, 2]},
+    ]
+
+
+def test_token_search_reads_texts_once(spark):
+    rows = corpus(seed=5, n=80)
+    read = spark.sparkContext.accumulator(0)
+    parts = spark.createDataFrame(rows, "doc_id bigint, text string").rdd.map(lambda r: (read.add(1), tuple(r))[1])
+    found = similarity.token_search(spark.createDataFrame(parts, "doc_id bigint, text string"), "doc_id", "text", ["ram", "the"])
+    want = sum(bool({"ram", "the"} & set((t or "").split())) for _, t in rows)
+    assert len(found.collect()) == want and read.value == len(rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,13 +72,16 @@ def flag_repeats_stream(rows: DataFrame, key: str, order: str) -> DataFrame:
     shaped = rows.select(c(key).cast("string").alias("key"), c(order).cast("bigint").alias("seq"))
 
     def flag(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.exists
-        found = pd.concat(list(batches)).sort_values("seq")
-        repeats = [True] * len(found)
-        if not seen:
-            repeats[0] = False
+        # Most keys have few rows, so what is done once a key decides the time: no sort, no copy of a single part.
+        parts = list(batches)
+        found = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        seq = found["seq"].to_numpy()
+        repeats = np.ones(len(seq), dtype=bool)
+        if not state.exists:
+            repeats[seq.argmin()] = False
             state.update((True,))
-        yield pd.DataFrame({"key": found["key"], "seq": found["seq"], "is_repeat": repeats})
+        found["is_repeat"] = repeats
+        yield found
 
     return shaped.where(c("key").isNotNull()).groupBy("key").applyInPandasWithState(
         flag, "key string, seq bigint, is_repeat boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout

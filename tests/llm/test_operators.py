@@ -50,6 +50,25 @@ def test_encoder_is_the_library(name):
         assert np.frombuffer(e.ids(text), "<u4").tolist() == want, text
 
 
+@pytest.mark.parametrize("keep", [3, 1_000_000])
+def test_texts_encoded_together(keep):
+    e = tokens.Encoder(tokens.definition(tokenizer("byte_bpe_50k.json")), keep)
+    library, r = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), random.Random(5)
+    words = ["the", "Öl", "word's", "it'", "x" * 70, "naïve--", "3rd", "中", "ª", "café!!", "\nnew", "\n", "", " ", "\tt", "<|endoftext|>", "\nœuvre,"]
+    texts = [None, "", " ", "\n", "a", " a", "a ", "\na", "a\n"] + [" ".join(r.choices(words, k=r.randint(1, 9))) for _ in range(800)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.many(texts)] == want
+    assert e.many([]) == [] and e.many([None]) == [b""]
+
+
+def test_a_word_of_many_texts_is_encoded_once():
+    e, called = tokens.Encoder(tokens.definition(tokenizer("byte_bpe_50k.json"))), []
+    model, e.library = e.model, None
+    e.model = type("Model", (), {"tokenize": staticmethod(lambda word: called.append(word) or model.tokenize(word))})()
+    e.many(["\nthe word, the word.", "\nword! the (word", "\nthe"][:1] * 3 + ["\nword the word"])
+    assert sorted(called) == sorted(["the", "word", "Ġthe", "Ġword", ",", "."])
+
+
 def test_packing_with_few_kept_words(docs):
     name = tokenizer("word_bpe_49k.json")
     packed = [sorted(map(repr, P.pack(docs, name, 1, keep_pieces=k).drop("sequence_id", "offset").collect())) for k in (2, 1_000_000)]

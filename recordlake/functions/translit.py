@@ -32,6 +32,18 @@ _TOKEN = f"(?s)({_longest_first(fixed.LATIN_CONSONANTS, fixed.LATIN_VOWEL_SIGNS)
 
 def _spell_tokens(tokens: Column) -> Column:
     """Spellings of one tokenised word: one text, or two where it ends in a long "a" sign."""
+
+    def variants(spelled: Column) -> Column:
+        shorter = F.when(
+            spelled.endswith(fixed.LONG_A_SIGN), F.left(spelled, F.length(spelled) - 1)
+        )
+        return F.array_compact(F.array(spelled, shorter))
+
+    return let(_signs(tokens), variants)
+
+
+def _signs(tokens: Column) -> Column:
+    """The signs of one tokenised word as one text."""
     signs = lookup_table({**fixed.LATIN_CONSONANTS, **fixed.LATIN_VOWEL_SIGNS})
     initials = lookup_table(fixed.LATIN_INITIAL_VOWELS)
     last = F.size(tokens) - 1
@@ -41,20 +53,22 @@ def _spell_tokens(tokens: Column) -> Column:
         inner_a = F.when((i > 0) & (i < last) & (token == "a"), "")
         return F.coalesce(first, inner_a, F.try_element_at(signs, token), token)
 
-    def variants(spelled: Column) -> Column:
-        shorter = F.when(
-            spelled.endswith(fixed.LONG_A_SIGN), F.left(spelled, F.length(spelled) - 1)
-        )
-        return F.array_compact(F.array(spelled, shorter))
+    return F.array_join(F.transform(tokens, sign), "")
 
-    return let(F.array_join(F.transform(tokens, sign), ""), variants)
+
+def _tokens(word: Column) -> Column:
+    return F.regexp_extract_all(word, F.lit(_TOKEN), F.lit(1))
 
 
 def _spell_word(word: Column) -> Column:
     """Devanagari spellings of one normalised Latin word: array of one or two texts."""
-    tokens = F.regexp_extract_all(word, F.lit(_TOKEN), F.lit(1))
     common = F.try_element_at(lookup_table(fixed.COMMON_NAMES), word)
-    return F.coalesce(F.nullif(F.array(common), F.array(F.lit(None).cast("string"))), let(tokens, _spell_tokens))
+    return F.coalesce(F.nullif(F.array(common), F.array(F.lit(None).cast("string"))), let(_tokens(word), _spell_tokens))
+
+
+def _first_spelling(word: Column) -> Column:
+    """The first of :func:`_spell_word`."""
+    return F.coalesce(F.try_element_at(lookup_table(fixed.COMMON_NAMES), word), let(_tokens(word), _signs))
 
 
 def to_devanagari(c: Column) -> Column:
@@ -80,8 +94,16 @@ def to_devanagari(c: Column) -> Column:
 
 
 def first_devanagari(c: Column) -> Column:
-    """The best Devanagari spelling, NULL when there is none."""
-    return F.try_element_at(to_devanagari(c), F.lit(1))
+    """The best Devanagari spelling, NULL when there is none: the first of :func:`to_devanagari`, without the others."""
+
+    def longer(head: Column, word: Column) -> Column:
+        return F.when(head == "", word).otherwise(F.concat_ws(" ", head, word))
+
+    def combine(norm: Column) -> Column:
+        words = F.transform(F.split(norm, " "), _first_spelling)
+        return F.when(norm != "", F.aggregate(words, F.lit(""), longer))
+
+    return let(normalize_latin(c), combine)
 
 
 def _latin_word(word: Column) -> Column:

@@ -68,6 +68,11 @@ def blank_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def made_null(c: Column) -> Column:
+    """NULL for the empty string of a costly expression, which ``nullif`` alone would evaluate twice inside other expressions."""
+    return let(c, blank_null)
+
+
 def as_records(df: DataFrame) -> DataFrame:
     """Exactly the record columns, typed; columns the input lacks become NULL."""
     have = set(df.columns)
@@ -153,15 +158,15 @@ def complete_names(lat: Column, dev: Column, auto: Column) -> Column:
         from_dev = F.coalesce(g["dev"], F.when(g["lat"].isNull() & g["auto_is_dev"], g["auto"]))
         from_lat = F.coalesce(g["lat"], F.when(g["dev"].isNull() & ~g["auto_is_dev"], g["auto"]))
         return F.struct(
-            blank_null(normalize_devanagari(from_dev)).alias("dev"),
-            blank_null(normalize_latin(from_lat)).alias("lat"),
+            made_null(normalize_devanagari(from_dev)).alias("dev"),
+            made_null(normalize_latin(from_lat)).alias("lat"),
         )
 
     def filled(n: Column) -> Column:
         return F.struct(
-            F.coalesce(n["lat"], F.when(n["dev"].isNotNull(), blank_null(to_latin(n["dev"])))).alias("lat"),
+            F.coalesce(n["lat"], F.when(n["dev"].isNotNull(), made_null(to_latin(n["dev"])))).alias("lat"),
             F.coalesce(
-                n["dev"], F.when(n["lat"].isNotNull(), blank_null(first_devanagari(n["lat"]))), n["lat"]
+                n["dev"], F.when(n["lat"].isNotNull(), made_null(first_devanagari(n["lat"]))), n["lat"]
             ).alias("dev"),
         )
 
@@ -216,7 +221,7 @@ def canonical_records(
     coded = picked.select(
         *carried, "ingest_seq", "raw", "ward", "part", "area", "constituency", "district",
         parse_int_prefix(c("_serial"), c("ingest_seq").cast("int")).alias("source_serial_number"),
-        blank_null(normalize_id_code(c("_id_code"))).alias("id_code"),
+        made_null(normalize_id_code(c("_id_code"))).alias("id_code"),
         c("_name.lat").alias("name_lat"),
         c("_name.dev").alias("name_dev"),
         code_relation(c("_relation_type"), c("_father"), c("_husband"), c("_mother")).alias("relation_type"),
@@ -224,7 +229,7 @@ def canonical_records(
         c("_rel.dev").alias("rel_name_dev"),
         code_gender(c("_gender")).alias("gender"),
         parse_int_prefix(c("_age")).alias("age"),
-        blank_null(normalize_house(c("_house"))).alias("house_number"),
+        made_null(normalize_house(c("_house"))).alias("house_number"),
     )
     named = filter_late(coded, c("name_lat").isNotNull() | c("name_dev").isNotNull())
     return as_records(with_defaults(named, meta).withColumn("status", tabular_status()))
@@ -248,7 +253,7 @@ def with_defaults(df: DataFrame, metadata: Mapping[str, str] | None = None) -> D
     def number(name: str, default: Column) -> Column:
         return F.coalesce(F.nullif(c(name), F.lit(0)), default) if name in have else default
 
-    name_lat = F.coalesce(text("name_lat"), blank_null(to_latin(text("name_dev"))))
+    name_lat = F.coalesce(text("name_lat"), made_null(to_latin(text("name_dev"))))
     out = df.withColumns(
         {
             "name_lat": name_lat,
@@ -281,8 +286,8 @@ def with_defaults(df: DataFrame, metadata: Mapping[str, str] | None = None) -> D
         {
             "norm_name_lat": norm("norm_name_lat", normalize_latin(c("name_lat"))),
             "norm_name_dev": norm("norm_name_dev", normalize_devanagari(c("name_dev"))),
-            "norm_rel_lat": norm("norm_rel_lat", blank_null(normalize_latin(rel_lat))),
-            "norm_rel_dev": norm("norm_rel_dev", blank_null(normalize_devanagari(rel_dev))),
-            "norm_house": norm("norm_house", blank_null(normalize_house(c("house_number")))),
+            "norm_rel_lat": norm("norm_rel_lat", made_null(normalize_latin(rel_lat))),
+            "norm_rel_dev": norm("norm_rel_dev", made_null(normalize_devanagari(rel_dev))),
+            "norm_house": norm("norm_house", made_null(normalize_house(c("house_number")))),
         }
     )

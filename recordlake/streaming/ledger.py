@@ -138,6 +138,8 @@ def store_files(
     counts = spark.createDataFrame([], "source_path string, n bigint")
     if paths:
         rows = read_delimited(spark, sorted(paths)).withColumnRenamed("source_path", "source_file_id")
+        # A file is read by one task; its rows are then dealt to all, as records cost far more than reading.
+        rows = rows.repartition("source_file_id", "ingest_seq")
         # The checks read the drafts several times, so they are stored once first.
         drafts = cut_lineage(canonical_records(rows.withColumn("batch_id", F.lit(batch_id)), mapping, metadata), "drafts")
         held = sorted(set(done) & set(_partitions(spark, f"{table}/records", False)))

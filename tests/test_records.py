@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from recordlake.functions import translit
 from recordlake.operators import records
 from recordlake.sources import files, json_items, tabular
 
@@ -136,3 +137,19 @@ def test_json_items(spark):
         ("3", "single", "UNKNOWN", 33, 1, "WARNING", "OTHER"),
     ]
     assert out.first().part == "9"
+
+
+def test_first_devanagari_is_the_first_of_all_spellings(spark):
+    texts = [None, "", " ", "ram", "Sita Rama", "a", "a a", "rama aa anita", "q7 /x", "é-ram  dayal", "अनिता", "ka ka ka ka ka ka"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(translit.first_devanagari(F.col("t")).alias("first"), translit.to_devanagari(F.col("t")).alias("all")).collect()
+    assert [r.first for r in got] == [(r.all or [None])[0] for r in got] and any(r.first for r in got)
+    plan = df.select(translit.first_devanagari(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "slice" not in plan
+
+
+def test_names_are_spelled_once(spark):
+    df = spark.createDataFrame([("Sita Rama",)], "t string")
+    none = F.lit(None).cast("string")
+    plan = df.select(records.complete_names(F.col("t"), none, none).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1

@@ -69,6 +69,16 @@ def test_a_word_of_many_texts_is_encoded_once():
     assert sorted(called) == sorted(["the", "word", "Ġthe", "Ġword", ",", "."])
 
 
+def test_a_word_is_encoded_once_whatever_marks_stand_behind_it():
+    e, called = tokens.Encoder(tokens.definition(tokenizer("byte_bpe_50k.json"))), []
+    library, model = e.library, e.model
+    e.model = type("Model", (), {"tokenize": staticmethod(lambda word: called.append(word) or model.tokenize(word))})()
+    texts = ["a word, été.\nword!", "a word! word; (word) été", "a été; word,,\nword... word"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(e.many([t])[0], "<u4").tolist() for t in texts] == want
+    assert [called.count(w) for w in ("Ġword", "word", "ĠÃ©tÃ©")] == [1, 1, 1]
+
+
 def test_packing_with_few_kept_words(docs):
     name = tokenizer("word_bpe_49k.json")
     packed = [sorted(map(repr, P.pack(docs, name, 1, keep_pieces=k).drop("sequence_id", "offset").collect())) for k in (2, 1_000_000)]
@@ -143,6 +153,32 @@ def test_grammar_round_trip(spark, docs, empty):
     assert G.read_documents(spark, path).count() == 0
 
 
+def test_grammar_rounds_count_only_pairs_that_can_be_frequent(monkeypatch):
+    r, counted, grouped = np.random.default_rng(4), [], G._grouped
+    monkeypatch.setattr(G, "_grouped", lambda x, at, n: counted.append((len(x), len(at))) or grouped(x, at, n))
+    ids = np.concatenate([np.tile([1, 2, 3, 4], 50), r.permutation(np.arange(10, 5000))]).astype(np.uint32)
+    x, rules = G.replace_pairs(ids, 5000)
+    assert len(counted) > 1 and counted[0] == (len(ids), len(ids) - 1) and all(at < 210 for _, at in counted[1:])
+    assert G.expand(x, rules, 5000).tolist() == ids.tolist()
+
+
+@pytest.mark.parametrize("top", [3, 300, 1 << 30])
+def test_grammar_segments_of_small_and_large_ids(top):
+    ids = np.random.default_rng(6).integers(0, 40, 30_000) ** 2 % 37 * max(top // 40, 1)
+    x, rules = G.replace_pairs(ids.astype(np.uint32), int(ids.max()) + 1)
+    data = G.write_segment(ids.astype(np.uint32))
+    assert len(x) < 0.7 * len(ids) and G.expand(x, rules, int(ids.max()) + 1).tolist() == G.read_segment(data)[0].tolist() == ids.tolist()
+    assert G.read_segment(data, 0, 11, 12_345)[0].tolist() == ids[11:12_345].tolist()
+
+
+def test_whole_segments_expand_each_rule_once(monkeypatch):
+    given, expand = [], G.expand
+    monkeypatch.setattr(G, "expand", lambda x, rules, first: given.append(len(x)) or expand(x, rules, first))
+    ids = np.tile(np.arange(40, dtype=np.uint32), 1000)
+    data = G.write_segment(ids, 8, 2)
+    assert G.read_segment(data)[0].tolist() == ids.tolist() and sum(given) < 100
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme/fr/", "http://Sub.Example.ORG/es/x?q=/en/1", "http://example.org/en/1x#a", "https://x.com/de/", "https://com/fr/a",
             "http://ads-a.example.net/fr/", "http://badexample.org/es/", "http://x.org", "http://x.org?a/", "a://b://c.com/fr/", "http://adsx.net/a"]
